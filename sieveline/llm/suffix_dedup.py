@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .chunks import PACKED, chunked, groups, in_order, packed
@@ -136,10 +137,11 @@ def _encode(contexts: dict[tuple[int, bytes], list[int]], doc: np.ndarray, place
     own = list(contexts)
     occ = np.fromiter((i for x in contexts.values() for i in x), np.int64)
     parts = [np.array([len(own), len(occ)], "<i8"), np.array([g for g, _ in own], "<u8"), np.array([len(c) for _, c in own], "<u4"), np.array([len(x) for x in contexts.values()], "<u4"), doc[rows[occ]].astype("<i8"), rows[occ].astype("<u4"), places[occ].astype("<u4")]
-    return b"".join([*(x.tobytes() for x in parts), *(c for _, c in own)])
+    return zstandard.compress(b"".join([*(x.tobytes() for x in parts), *(c for _, c in own)]), 1)
 
 
 def _decode(p: bytes) -> tuple[np.ndarray, ...]:
+    p = zstandard.decompress(p)
     n, m = np.frombuffer(p, "<i8", 2).tolist()
     at, out = 16, []
     for kind, k in (("<u8", n), ("<u4", n), ("<u4", n), ("<i8", m), ("<u4", m), ("<u4", m)):
