@@ -8,7 +8,7 @@ shard's key, since their size grows with the data and so cannot be broadcast.
 Two ways to deal: ``blocks`` is exact for a small radius (fingerprints within it agree on some of the blocks of bits;
 blocks and agreeing picks follow the number of fingerprints), ``bands`` deals by the smallest permuted shingle hashes and
 finds pairs of Jaccard similarity s but for (1 - s) ** BANDS of them, which a wide radius needs.  A shard beyond ``TILE``
-fingerprints is cut into slices that meet in pairs of their own.
+fingerprints is cut into slices (TILES at most) that meet in pairs of their own.
 
 Links within a shard come out as one star a group, never as all pairs; groups are joined by alternating large and small
 stars, cut by checkpoints.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, cut, parts, text_bytes, texts
 
-SEED, BANDS, TILE, LEAF = 42, 8, 4096, 48
+SEED, BANDS, TILE, TILES, LEAF = 42, 8, 1024, 64, 48
 TURNS = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, BANDS)]
 
 
@@ -180,7 +180,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    dealt = keyed.join(sizes, "key").withColumn("s", F.ceil(F.col("n") / TILE).cast("int"))
+    dealt = keyed.join(sizes, "key").withColumn("s", F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
     dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node")
