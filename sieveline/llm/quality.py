@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression trained with follow-the-regularised-leader updates.
 
 Words are maximal runs of letters (any byte from 0x80 counts as one), of digits, or of other signs.  Word unigrams and
-bigrams hash into ``2 ** BITS`` weights; a document's value of a feature is its share of the document's n-grams times
+bigrams hash into ``2 ** BITS`` weights, where all bigrams of a word with itself, next to it or after one other word, are
+one feature each, so that stuttering is learned from other words' stuttering; a document's value of a feature is its share of the document's n-grams times
 ``SCALE``, and its score the logistic function of the sparse dot product.
 
 Training reads a bounded sample: about ``per_class`` labelled documents of each class in expectation, chosen by a hash of
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import M2, U64, bucket_of, loads, mix, row_sums, slices, span_hashes, text_bytes, texts, token_runs
 
 BITS, SCALE, PER_CLASS, EPOCHS = 18, 12.0, 2000, 4
+STUTTER = np.array([1, 2], U64) << U64(60)
 KIND = np.full(256, 3, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
 KIND[48:58] = 2
@@ -39,7 +41,12 @@ def ngrams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same = row[1:] == row[:-1]
     both = np.empty(2 * n, U64)
     both[0::2] = h
-    both[1::2][: n - 1] = mix(h[:-1] * M2 + h[1:]) if n else h[:0]
+    if n:
+        both[1::2][: n - 1] = mix(h[:-1] * M2 + h[1:])
+        twice = np.zeros(n, bool)
+        twice[: n - 2] = (h[: n - 2] == h[2:]) & (row[: n - 2] == row[2:])
+        both[1::2][twice] = STUTTER[1]
+        both[1::2][: n - 1][h[:-1] == h[1:]] = STUTTER[0]
     real = np.ones(2 * n, bool)
     real[1::2][: n - 1] = same
     real[2 * n - 1 :] = False
