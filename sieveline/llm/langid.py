@@ -45,14 +45,13 @@ def code_of(k: int) -> np.ndarray:
 
 def trigrams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of each row and the first of each row (n + 1 values)."""
-    s = SEEN[buf].astype(np.uint32)
+    s = np.insert(SEEN[buf], np.sort(np.r_[at[:-1], at[1:]]), 32).astype(np.uint32)  # a space before and after each row
+    at = at + 2 * np.arange(len(at))
     if len(s) < 3:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     h = ((s[:-2] | s[1:-1] << np.uint32(8) | s[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
     inside = np.ones(len(h), bool)
-    for back in (1, 2):
-        over = at[1:-1] - back
-        inside[over[(over >= 0) & (over < len(h))]] = False
+    inside[at[1:-1] - 2] = inside[at[1:-1] - 1] = False
     blank = (s[:-2] == 32) & (s[1:-1] == 32)
     inside &= ~blank
     before = np.r_[0, np.cumsum(inside)]
