@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines.
 
 A unit is a line, cut further after sentence-final signs that white space follows, so that a passage pasted into the
-middle of a paragraph meets its copies.  Units are normalised (ASCII lower case, runs of white space to one space), those
+middle of a paragraph meets its copies; sentences of fewer than ``min_words`` words join the next short ones.  Units are normalised (ASCII lower case, runs of white space to one space), those
 of at least ``min_words`` words are hashed to 128 bits, digests are grouped over all documents, and only the occurrence of
 the smallest (doc_id, offset) stays.  What is removed keeps its byte offsets in the original UTF-8 text.
 
@@ -26,12 +26,26 @@ MIN_WORDS = 6
 
 def units(raw: bytes, min_words: int) -> list[tuple[int, int, bytes | None]]:
     """Start, end and digest (None: too short to count) of every unit; together they are the whole text."""
-    out = []
-    for m in UNIT.finditer(raw):
-        s, e = m.span()
+    out: list[tuple[int, int, bytes | None]] = []
+    since, held = 0, []  # of the short sentences that wait
+
+    def close(s: int, e: int, words: list[bytes]) -> None:
         if e > s:
-            words = raw[s:e].lower().split()
             out.append((s, e, xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= min_words else None))
+
+    for m in UNIT.finditer(raw):
+        s, e = m.span()
+        words = raw[s:e].lower().split()
+        if len(words) >= min_words:
+            close(since, s, held)
+            close(s, e, words)
+            since, held = e, []
+            continue
+        held += words
+        if len(held) >= min_words or raw[e - 1 : e] == b"\n":
+            close(since, e, held)
+            since, held = e, []
+    close(since, len(raw), held)
     return out
 
 
