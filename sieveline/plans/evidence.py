@@ -164,10 +164,10 @@ def blank_runs(spark: SparkSession, d: str) -> DataFrame:
     return post.blank_runs(log(spark, d), "user_id", "event_id").select("user_id", "event_id", "role")
 
 
-@query(f"WITH {LOG} SELECT user_id, event_id FROM (SELECT *, sum({o.tokens('line')}) OVER (PARTITION BY user_id ORDER BY CASE WHEN role IN ('plain', 'blank', 'install', 'progress') THEN 2 WHEN role IN ('frame', 'warning') THEN 1 ELSE 0 END, event_id) AS upto FROM lg) WHERE upto <= 900")
+@query(f"WITH {LOG} SELECT user_id, event_id FROM (SELECT *, sum({o.tokens('line')}) OVER (PARTITION BY user_id ORDER BY CASE WHEN role IN ('plain', 'blank', 'install', 'progress') THEN 2 WHEN role IN ('frame', 'warning') THEN 1 ELSE 0 END, event_id) AS upto FROM lg) WHERE upto <= 40")
 def trim_to_budget(spark: SparkSession, d: str) -> DataFrame:
     rows = log(spark, d).withColumn("tokens", t.token_count(F.col("line")))
-    return post.trim_to_budget(rows, "user_id", "event_id", 900).select("user_id", "event_id")
+    return post.trim_to_budget(rows, "user_id", "event_id", 40).select("user_id", "event_id")
 
 
 def rule(r: str) -> str:

@@ -43,13 +43,13 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, ext), F.lit("unknown"))
 
 
-def skip_reason(path: Column, size: Column, raw: Column, never_read: list[str], max_bytes: int) -> Column:
+def skip_reason(path: Column, size: Column, text: Column, never_read: list[str], max_bytes: int) -> Column:
     """The first check that a file fails, null if none; what needs the content comes last."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     unsafe = path.startswith("/") | F.array_contains(F.split(path, "/"), "..")
     return (
         F.when(unsafe, "unsafe_path").when(in_ignored_dir(path), "ignored_dir").when(matches_any(path, never_read), "policy_deny").when(name.isin(IGNORED_FILES), "hidden_system")
-        .when(size > max_bytes, "too_large").when(raw.isNull(), "read_failed").when(F.instr(F.substring(raw, 1, 8192), "\0") > 0, "binary")
+        .when(size > max_bytes, "too_large").when(text.isNull(), "read_failed").when(F.instr(F.substring(text, 1, 8192), "\0") > 0, "binary").when(~F.is_valid_utf8(text), "not_utf8")
     )
 
 
@@ -57,8 +57,8 @@ def scan(spark: SparkSession, root: str, never_read: list[str] | None = None, ma
     """rel_path, language, size_bytes, content_hash, modified, content and reason of every file under ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    text = F.decode("content", "UTF-8")
-    reason = skip_reason(rel, F.col("length"), F.when(F.is_valid_utf8(F.col("content").cast("string")), text), never_read or [], max_bytes)
+    text = F.col("content").cast("string")
+    reason = skip_reason(rel, F.col("length"), text, never_read or [], max_bytes)
     out = files.select(rel.alias("rel_path"), language(rel).alias("language"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), reason.alias("reason"), text.alias("content"))
     return out.withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
 
