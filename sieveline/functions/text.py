@@ -52,7 +52,14 @@ def variants(t: Column) -> Column:
         F.when(has("ed", 5), past), F.when(has("ed", 5), F.concat(past, F.lit("e"))),
         F.when(has("ed", 6) & double, cut(3)),
     )
-    return F.array_distinct(F.filter(found, lambda v: v.isNotNull() & (v != t)))
+    folds = F.array_distinct(F.filter(found, lambda v: v.isNotNull() & (v != t)))
+    return F.when(F.substring(t, -1, 1).isin("s", "d", "g"), folds).otherwise(F.array().cast("array<string>"))  # no other ending folds
+
+
+def is_compound(w: Column) -> Column:
+    """Whether a word may have several parts: an underscore, or a capital after its first character."""
+    rest = F.substring(w, F.lit(2), F.length(w))
+    return F.contains(w, F.lit("_")) | (rest != F.lower(rest))
 
 
 def with_variants(t: Column) -> Column:
@@ -62,11 +69,18 @@ def with_variants(t: Column) -> Column:
 def lex_terms(text: Column) -> Column:
     """The bag of terms: each ASCII word, its folds, and for compound words each part with its folds."""
 
-    def of_word(w: Column) -> Column:
-        inner = F.transform(split_identifier(w), F.lower)
-        return F.concat(with_variants(F.lower(w)), F.when(F.size(inner) > 1, F.flatten(F.transform(inner, with_variants))).otherwise(F.array().cast("array<string>")))
+    return F.flatten(F.transform(words(text), word_terms))
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of_word))
+def word_terms(w: Column) -> Column:
+    """The terms of one word."""
+    inner = F.transform(split_identifier(w), F.lower)
+    parts = F.when(F.size(inner) > 1, F.flatten(F.transform(inner, with_variants))).otherwise(F.array().cast("array<string>"))
+    return F.when(is_compound(w), F.concat(with_variants(F.lower(w)), parts)).otherwise(with_variants(F.lower(w)))
 
 
 def usable(terms: Column) -> Column:

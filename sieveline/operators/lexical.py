@@ -7,14 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import full_identifiers, lex_terms, usable_terms
+from ..functions.text import full_identifiers, lex_terms, usable_terms, word_terms, words
 
 K1, B = 1.2, 0.75
 
 
+def terms(docs: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key, term, one row an occurrence: words are exploded first, so that their folds compile to straight code."""
+    words_of = docs.select(*key, F.explode(words(F.col(text))).alias("word"))
+    return words_of.select(*key, F.explode(word_terms(F.col("word"))).alias("term"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf; counted before the shuffle, as each row's terms are in one array."""
-    return docs.select(key, F.explode(lex_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """key, term, tf; counted before the shuffle, as each row's terms are in one place."""
+    return terms(docs, [key], text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -36,10 +42,11 @@ def stats(dl: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, key: str, text: str, query_terms: DataFrame, query_key: list[str]) -> DataFrame:
     """query_key..., key, score of every pair that shares a term; ``query_terms`` has query_key..., term, times."""
-    terms = docs.select(key, lex_terms(F.col(text)).alias("bag"))
-    dl = terms.select(key, F.size("bag").cast("long").alias("dl"))
-    asked = query_terms.select("term").distinct()
-    post = terms.select(key, F.size("bag").alias("dl"), F.explode("bag").alias("term")).join(asked, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = query_terms.select("term").distinct().withColumn("asked", F.col("term"))
+    # one pass: what no query asks for is counted under a null term, so only lengths and wanted postings are shuffled
+    counted = terms(docs, [key], text).join(asked, "term", "left").groupBy(key, "asked").agg(F.count(F.lit(1)).alias("tf"))
+    dl = docs.select(key).join(counted.groupBy(key).agg(F.sum("tf").alias("dl")), key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
+    post = counted.where(F.col("asked").isNotNull()).select(key, F.col("asked").alias("term"), "tf").join(dl, key)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = query_terms.join(df, "term").crossJoin(F.broadcast(stats(dl)))  # stats is one row
     weighed = weighed.withColumn("idf", idf(F.col("df"), F.col("n")))
@@ -49,7 +56,7 @@ def bm25(docs: DataFrame, key: str, text: str, query_terms: DataFrame, query_key
 
 
 def query_terms(queries: DataFrame, key: list[str], text: str) -> DataFrame:
-    return queries.select(*key, F.explode(lex_terms(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("times"))
+    return terms(queries, key, text).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def normalised(scores: DataFrame, query_key: list[str]) -> DataFrame:

@@ -94,6 +94,10 @@ def pack_one(rows: list[dict], budget: int, claim_share: float = 0.6) -> list[tu
         by_file[r["path"]] = by_file.get(r["path"], 0) + r["tokens"]
         picked_terms.append(set(r["terms"]))
 
+    def closest(own: set[str]) -> float:
+        both = ((len(own & p), len(own) + len(p)) for p in picked_terms)
+        return max((n / (total - n) for n, total in both if total > n), default=0.0)
+
     for r in rows:
         if r["pinned"]:
             take(r, "pin")
@@ -112,9 +116,7 @@ def pack_one(rows: list[dict], budget: int, claim_share: float = 0.6) -> list[tu
             fits = used + r["tokens"] <= limit
             if name == "depth":
                 room = by_file.get(r["path"], 0) + r["tokens"] <= max(r["tokens"], int(DEPTH_SHARE * budget))
-                own = set(r["terms"])
-                near = max((len(own & p) / len(own | p) if own | p else 0.0 for p in picked_terms), default=0.0)
-                if seen <= DEPTH and fits and room and r["score"] - OVERLAP * near >= 0:
+                if seen <= DEPTH and fits and room and r["score"] - OVERLAP * closest(set(r["terms"])) >= 0:
                     take(r, name)
             elif fits and r["path"] not in paths and (name == "tail" or len(paths) < PATHS):
                 take(r, name)
