@@ -185,3 +185,22 @@ def test_streaming_ledger(spark, tmp_path):
     files = spark.readStream.schema("value string").text(str(tmp_path / "text"))
     ledger.refresh(files, lambda df, _: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert seen == [2]
+
+
+def test_engine_end_to_end(spark):
+    from sieveline.engine import Engine
+
+    files = [("src/discount.py", "python", "def apply_discount(price):\n    return price * 0.9\n"), ("src/stock.py", "python", "def count_stock():\n    return 1\n"), ("tests/test_discount.py", "python", "def test_discount():\n    assert apply_discount(1)\n"), ("docs/mail.md", "markdown", "Write to a@b.org about discount prices.\n")]
+    engine = Engine(spark)
+    with pytest.raises(ValueError):
+        engine.score(None)
+    engine.index(spark.createDataFrame(files, "path string, language string, content string"))
+    requests = spark.createDataFrame([(1, "How does apply_discount change the price"), (2, "count the stock")], "request_id long, task string")
+    got = engine.select(requests, 60, explicit=["mail.md"], exclude=["src/stock.py"]).orderBy("request_id", "position").collect()
+    first = [r for r in got if r["request_id"] == 1]
+    assert (first[0]["path"], first[0]["pass"], first[0]["strategy"]) == ("docs/mail.md", "pin", "verbatim") and "<REDACTED_EMAIL_1>" in first[0]["content"]
+    assert ("src/discount.py", "claim", "apply_discount") in {(r["path"], r["pass"], r["symbol"]) for r in first}
+    assert "src/stock.py" not in {r["path"] for r in got} and sum(r["tokens"] for r in first) <= 60
+    evidence = engine.select(requests, 60)
+    assert engine.markdown(evidence).count() == 2
+    assert {r["request_id"]: r["selected_tokens"] > 0 for r in engine.accounting(requests, evidence).collect()} == {1: True, 2: True}
