@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-modal)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+NAMES = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden|aria-modal)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
@@ -33,6 +33,8 @@ BLOCKS = {"html", "body", "main", "article", "section", "div", "p", "h1", "h2",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 NO_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "address", "hr", "details", "center"} | {"nav", "header", "footer", "aside", "form", "menu", "fieldset"}
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|promo|promoted|sponsor|sponsored|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|comments?|respond|replies|discussion|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|copyright|legal|disclaimer|skip|hidden|search|rating)(?=$|[\s_-])", re.I)
+#: Names that tell what a container's surroundings have, not what it is.
+LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
 GOOD = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 WEIGHT = {"article": 30, "main": 20, "div": 5, "section": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5}
@@ -58,6 +60,7 @@ def _judge(tag: str, attrs: str) -> tuple[bool, float]:
             elif name == "role" and value.lower() in BAD_ROLE:
                 prune = True
             elif name in ("class", "id"):
+                value = LAYOUT.sub("", value)
                 if BAD.search(value) and tag not in ("html", "body", "article", "main"):
                     prune = True
                 elif GOOD.search(value):

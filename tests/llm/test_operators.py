@@ -211,6 +211,11 @@ def test_html(spark):
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == sorted((str(i), t, len(t)) for i, t in [(1, want), (2, ""), (3, ""), (4, "plain text"), (5, "a\nb <i>"), (6, ""), (7, "x y"), (None, ""), (1, want)])
 
 
+def test_html_names():
+    page = '<body class="has-sidebar"><div class="content with-header" data-hidden="no" data-id="ad"><p>Kept, all of it</p></div><div class="post-comments"><p>gone</p></div><p hidden>gone</p><div role=alert><p>gone</div>'
+    assert html_extract.extract(page) == "Kept, all of it"
+
+
 def test_html_deep_and_long():
     deep = "<div>" * 5000 + "<p>" + "word, " * 50_000 + "</p>" + "</div>" * 5000
     assert html_extract.extract(deep).count("word") == 50_000
