@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import oracle as o
 from ..functions import text as t
-from ..operators import conversation, evaluate, lexical, packing, post, privacy
+from ..operators import compress, conversation, evaluate, lexical, packing, post, privacy, report, token_classifier
 from .catalogue import query, table
 from .text import BM25, TOP, scores
 
@@ -319,3 +319,54 @@ def render_messages(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return post.fingerprint(evidence(spark, d), "item_id", ["path", "section"])
+
+
+@query("SELECT lang, round(avg(n_chars), 6) AS mean, CAST(median(n_chars) AS DOUBLE) AS median, min(n_chars) AS least, count(*) AS n FROM documents GROUP BY lang")
+def macro_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.macro(table(spark, d, "documents"), "lang", "n_chars").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT lang, l[greatest(1, CAST(floor(0.95 * len(l)) AS BIGINT))] AS p95, l[CAST(round_even(0.9 * (len(l) - 1), 0) AS BIGINT) + 1] AS p90_index FROM (SELECT lang, list_sort(list(n_chars)) AS l FROM documents GROUP BY lang)")
+def percentile_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return report.at_rank(table(spark, d, "documents"), "lang", "n_chars", {"p95": report.p95_rank(), "p90_index": report.index_rank(90)})
+
+
+@query(f"WITH {CAND}, qu AS (SELECT DISTINCT item_id, term FROM q WHERE {o.USABLE}), p AS (SELECT DISTINCT c.item_id, c.doc_id, term FROM cand c JOIN b USING (doc_id) WHERE rank <= 5) SELECT qu.item_id, qu.term, count(p.term) AS cited FROM qu LEFT JOIN p ON p.item_id = qu.item_id AND p.term = qu.term GROUP BY ALL")
+def need_citations(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "benchmark").select("item_id", F.explode(t.usable_terms(F.col("text"))).alias("term"))
+    packed = candidates(spark, d).where("rank <= 5").select("item_id", "key", F.explode("terms").alias("term"))
+    return report.citations(terms, packed, "item_id")
+
+
+@query(f"""WITH {CAND}, tf2 AS (SELECT DISTINCT doc_id, term FROM b), nd AS (SELECT count(*) AS n FROM documents), dfx AS (SELECT term, count(*) AS df FROM tf2 GROUP BY term), qu AS (SELECT DISTINCT item_id, term FROM q WHERE {o.USABLE})
+    SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / greatest(0.5, df + 0.5))), 5) AS relevance FROM cand c JOIN tf2 USING (doc_id) JOIN qu USING (item_id, term) JOIN dfx USING (term), nd WHERE rank <= 5 GROUP BY ALL""")
+def claim_relevance(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    weights = lexical.document_frequency(lexical.postings(docs, "doc_id", "text")).crossJoin(F.broadcast(n)).select("term", lexical.idf(F.col("df"), F.col("n")).alias("idf"))  # n is one row
+    asked = table(spark, d, "benchmark").select("item_id", F.explode(t.usable_terms(F.col("text"))).alias("term"))
+    matched = candidates(spark, d).where("rank <= 5").select("item_id", F.col("key").alias("doc_id"), F.explode("terms").alias("term")).join(asked, ["item_id", "term"])
+    return report.claim_relevance(matched, weights, "item_id", "doc_id").withColumn("relevance", F.round("relevance", 5))
+
+
+@query(f"SELECT conv_id, CAST(sum({o.tokens('text')}) AS BIGINT) AS tokens, sum({o.tokens('text')}) < 1500 AS fits FROM conversations GROUP BY conv_id")
+def window_gate(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(t.token_count(F.col("text"))).alias("tokens"))
+    return own.select("conv_id", "tokens", report.fits_window(F.col("tokens"), F.lit(1500)).alias("fits"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(j, '$.usage.input_tokens') AS BIGINT) AS input_tokens, CAST(NULL AS BIGINT) AS output_tokens, CAST(NULL AS BIGINT) AS cached_tokens FROM (SELECT event_id, '{\"usage\": {\"input_tokens\": ' || user_id || '}}' AS j FROM events)")
+def usage_extraction(spark: SparkSession, d: str) -> DataFrame:
+    response = F.concat(F.lit('{"usage": {"input_tokens": '), F.col("user_id"), F.lit("}}"))
+    return table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in report.usage(response).items()])
+
+
+@query()
+def compress_tool_output(spark: SparkSession, d: str) -> DataFrame:
+    logs = log(spark, d).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return compress.compress(logs, "user_id", "content", "test", 200)
+
+
+@query()
+def classifier_scan(spark: SparkSession, d: str) -> DataFrame:
+    return token_classifier.scan(table(spark, d, "documents"), "doc_id", "text")

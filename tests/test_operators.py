@@ -204,3 +204,29 @@ def test_engine_end_to_end(spark):
     evidence = engine.select(requests, 60)
     assert engine.markdown(evidence).count() == 2
     assert {r["request_id"]: r["selected_tokens"] > 0 for r in engine.accounting(requests, evidence).collect()} == {1: True, 2: True}
+
+
+def test_compress(spark):
+    from sieveline.operators import compress
+
+    noise = "\n".join(f"Collecting pkg{i}" for i in range(30))
+    body = f"{noise}\ntests/a.py::x ... ok\nb\nc\nd\nFAIL: boom\nWARNING: took 1 s\nWARNING: took 2 s\n"
+    rows = spark.createDataFrame([(1, body), (2, ""), (3, None), (4, "a")], "id long, content string")
+    got = {r["id"]: r for r in compress.compress(rows, "id", "content", "test", context=1).collect()}
+    assert got[1]["compressed"] == "[30 install lines]\nb\nc\nd\nFAIL: boom\nWARNING: took 1 s" and got[1]["tokens_after"] < got[1]["tokens_before"]
+    assert [got[i]["compressed"] for i in (2, 3, 4)] == ["", "", "a"]
+    with pytest.raises(ValueError):
+        compress.compress(rows, "id", "content", "other")
+
+
+def test_token_classifier():
+    import numpy as np
+
+    from sieveline.operators import token_classifier as c
+
+    w = c.train()
+    fresh = [r for r in c.generated(7, 60) if len(r[0]) >= 12]
+    p = c.softmax(np.array([[*c.features(t), 1.0] for t, _ in fresh]) @ w)
+    sure = p.max(1) >= c.CONFIDENT
+    right = p.argmax(1) == np.array([y for _, y in fresh])
+    assert right[sure].mean() > 0.97 and sure.mean() > 0.5
