@@ -76,9 +76,46 @@ def demote_twins(claimed: DataFrame, request: str, term: str, key: str) -> DataF
     return claimed.join(on, [request, term]).groupBy(request, key).agg(F.bool_or(~F.col("on_path") & F.col("any_on")).alias("demoted"))
 
 
-def pack_one(rows: list[dict], budget: int, claim_share: float = 0.6) -> list[tuple[int, str]]:
+def mandatory_cap(items: Column, pinned_tokens: Column, budget: int, share: float) -> Column:
+    """Mandatory candidates that fit a share of the budget which the pins have already drawn on."""
+    return _fold(items, lambda acc, x: pinned_tokens + acc["used"] + x["tokens"] <= int(share * budget))
+
+
+def claim_list(rows: list[dict], wants_tests: bool = True) -> list[dict]:
+    """Claims worth a place, in score order.  A file's first claim by symbol or test pair always counts, a further one if
+    its path is named or it brings new symbol terms; a claim by path alone counts once for a file without another."""
+    covered: dict[str, set[str]] = {}
+    out = []
+    for r in rows:
+        if not r["claim"] or r.get("is_test") and not wants_tests:
+            continue
+        known, terms = covered.get(r["path"]), set(r.get("symbol_terms") or ())
+        if r.get("strong", True):
+            worth = known is None or bool(r.get("named_path")) or bool(terms - known)
+        else:
+            worth = known is None
+        if worth:
+            covered.setdefault(r["path"], set()).update(terms)
+            out.append(r)
+    return out
+
+
+def claim_order(claimed: list[dict], required: set[str] = frozenset()) -> list[dict]:
+    """Required paths first; then by relevance, class of overlap and rank, with twins of claims on the task's paths last."""
+    on_path = set().union(*(set(r.get("symbol_terms") or ()) for r in claimed if r.get("on_path")))
+    twin = lambda r: not r.get("on_path") and bool(on_path & set(r.get("symbol_terms") or ()))
+    return sorted(claimed, key=lambda r: (r["path"] not in required, twin(r), -r.get("relevance", 0.0), r.get("overlap", 3), r["rank"]))
+
+
+def file_tokens(packed: DataFrame, request: str) -> DataFrame:
+    """Tokens of a pack by file, and the pack's share of its budget."""
+    return packed.groupBy(request, "path").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("chunks"))
+
+
+def pack_one(rows: list[dict], budget: int, claim_share: float = 0.6, wants_tests: bool = True, required: set[str] = frozenset()) -> list[tuple[int, str]]:
     """All passes over one request: pins, claims, breadth, depth, tail.  Rows come in rank order with key, path, tokens,
-    score, terms, and the flags pinned and claim; the result is (key, pass) in order of admission."""
+    score, terms, and the flags pinned and claim, and what ``claim_list`` and ``claim_order`` look at if it is known; the
+    result is (key, pass) in order of admission."""
     chosen: list[tuple[int, str]] = []
     used, core = 0, budget - int(CORE_HELD * budget)
     taken: set[int] = set()
@@ -102,8 +139,8 @@ def pack_one(rows: list[dict], budget: int, claim_share: float = 0.6) -> list[tu
         if r["pinned"]:
             take(r, "pin")
     n_claims, spent = 0, 0
-    for r in rows:
-        if r["claim"] and r["key"] not in taken and n_claims < CLAIMS and used + r["tokens"] <= budget and spent + r["tokens"] <= claim_share * budget:
+    for r in claim_order(claim_list([r for r in rows if r["key"] not in taken], wants_tests), required):
+        if n_claims < CLAIMS and used + r["tokens"] <= budget and spent + r["tokens"] <= claim_share * budget:
             take(r, "claim")
             n_claims, spent = n_claims + 1, spent + r["tokens"]
             paths.add(r["path"])

@@ -370,3 +370,16 @@ def compress_tool_output(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def classifier_scan(spark: SparkSession, d: str) -> DataFrame:
     return token_classifier.scan(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(folded("0 AS n", f"300 + r.used + c.tokens <= {BUDGET // 4}", "0"))
+def mandatory_cap(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter of the budget, of which pins have drawn 300 tokens."""
+    return admitted(spark, d, lambda x: packing.mandatory_cap(x, F.lit(300), BUDGET, 0.25))
+
+
+@query(f"WITH {CAND}, adm AS (SELECT item_id, doc_id FROM ({folded('0 AS n', f'r.used + c.tokens <= {BUDGET}', '0')})) SELECT item_id, path, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS chunks FROM adm JOIN cand USING (item_id, doc_id) GROUP BY ALL")
+def pack_file_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = candidates(spark, d).select("item_id", F.col("key").alias("doc_id"), "path", "tokens")
+    got = admitted(spark, d, lambda x: packing.greedy(x, BUDGET)).join(rows, ["item_id", "doc_id"])
+    return packing.file_tokens(got, "item_id")

@@ -123,7 +123,7 @@ def test_folds_skip_what_does_not_fit(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 4), st.booleans(), st.booleans(), st.sets(st.integers(0, 6))), max_size=15), st.integers(1, 150))
 def test_pack_invariants(specs, budget):
-    rows = [{"key": i, "tokens": n, "path": f"p{p}", "pinned": pin, "claim": claim, "score": 1 / (i + 1), "terms": [str(x) for x in terms]} for i, (n, p, pin, claim, terms) in enumerate(specs)]
+    rows = [{"key": i, "tokens": n, "path": f"p{p}", "pinned": pin, "claim": claim, "score": 1 / (i + 1), "rank": i, "terms": [str(x) for x in terms]} for i, (n, p, pin, claim, terms) in enumerate(specs)]
     got = packing.pack_one(rows, budget)
     keys = [k for k, _ in got]
     size = {r["key"]: r["tokens"] for r in rows}
@@ -230,3 +230,16 @@ def test_token_classifier():
     sure = p.max(1) >= c.CONFIDENT
     right = p.argmax(1) == np.array([y for _, y in fresh])
     assert right[sure].mean() > 0.97 and sure.mean() > 0.5
+
+
+def test_claim_list_and_order():
+    base = {"claim": True, "pinned": False, "tokens": 1, "terms": [], "score": 1.0}
+    rows = [base | {"key": i, "rank": i, **r} for i, r in enumerate([
+        {"path": "a", "symbol_terms": ["x"]}, {"path": "a", "symbol_terms": ["x"]}, {"path": "a", "symbol_terms": ["y"]}, {"path": "a", "symbol_terms": ["x"], "named_path": True},
+        {"path": "a", "strong": False}, {"path": "b", "strong": False}, {"path": "b", "strong": False}, {"path": "t", "is_test": True}, {"path": "c", "claim": False},
+    ])]
+    assert [r["key"] for r in packing.claim_list(rows, wants_tests=False)] == [0, 2, 3, 5]
+    assert 7 in [r["key"] for r in packing.claim_list(rows)]
+    some = [base | {"key": i, "rank": i, **r} for i, r in enumerate([{"path": "a", "symbol_terms": ["x"], "relevance": 9.0}, {"path": "b", "symbol_terms": ["x"], "on_path": True, "relevance": 1.0}, {"path": "c", "relevance": 2.0, "overlap": 0}, {"path": "d", "relevance": 2.0, "overlap": 1}])]
+    assert [r["key"] for r in packing.claim_order(some)] == [2, 3, 1, 0]
+    assert [r["key"] for r in packing.claim_order(some, {"d"})] == [3, 2, 1, 0]
