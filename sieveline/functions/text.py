@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: A token is a run of word characters or one sign; Unicode classes, since the JVM's \w is ASCII.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]"
@@ -127,3 +131,21 @@ def fmt_tokens(n: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def budget_slices(text: Column, budget: int) -> Column:
+    """Slices of ``budget`` characters."""
+    n = F.length(text)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / budget).cast("int")), lambda i: F.substring(text, i * budget + 1, F.lit(budget)))).otherwise(F.array().cast("array<string>"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def ascii_words(texts: pd.Series) -> pd.Series:
+    """Distinct lower-case words after taking marks off letters; Unicode decomposition has no built-in form."""
+    bare = texts.fillna("").map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn").lower())
+    return bare.map(lambda x: sorted(set(re.findall(r"[a-z0-9_]+", x))))
+
+
+@F.pandas_udf(StringType())
+def path_norm(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).replace("\\", "/"))

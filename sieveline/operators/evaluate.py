@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def label_match(path: Column, start: Column, end: Column, symbol: Column, label: Column) -> Column:
@@ -66,3 +67,20 @@ def derived_cost(tokens: Column, usd_per_million: float) -> Column:
 def task_errors(task: Column, required: Column, budget: Column, difficulty: Column, repo_tokens: Column) -> Column:
     found = [F.when(F.coalesce(task, F.lit("")) == "", "task"), F.when(F.coalesce(F.size(required), F.lit(0)) == 0, "required_chunks"), F.when(F.coalesce(budget, F.lit(0)) <= 0, "token_budget"), F.when(budget >= repo_tokens, "budget_not_smaller"), F.when(~difficulty.isin("small", "typical", "difficult"), "difficulty")]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def rerank(scored: DataFrame, request: str, key: str) -> DataFrame:
+    """request, key, rank by score; rows without a score come last."""
+    w = Window.partitionBy(request).orderBy(F.desc_nulls_last("score"), F.asc(key))
+    return scored.select(request, key, F.row_number().over(w).alias("rank"))
+
+
+def label_rate(labels: DataFrame, packed: DataFrame, request: str) -> DataFrame:
+    """request, rate: share of labels whose path is in the pack."""
+    hit = packed.select(request, "path").distinct().withColumn("hit", F.lit(1))
+    return labels.join(hit, [request, "path"], "left").groupBy(request).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("rate"))
+
+
+def task_set_digest(tasks: DataFrame, column: str) -> DataFrame:
+    """One digest of a set of tasks, whatever their order; tasks are a label file, not a corpus."""
+    return tasks.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.sha2(column, 256)))), 256).alias("digest"))

@@ -43,3 +43,13 @@ def top_level(spans: DataFrame, key: str) -> DataFrame:
     once = spans.select(key, "start", "end").distinct()
     before = Window.partitionBy(key).orderBy(F.asc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return once.withColumn("_e", F.max("end").over(before)).where(F.col("_e").isNull() | (F.col("_e") < F.col("end"))).drop("_e")
+
+
+def refresh_pinned(stored: DataFrame, current: DataFrame, pins: Column, key: str = "path", content: str = "content_hash") -> tuple[DataFrame, DataFrame]:
+    """Of the pinned paths: those whose content changed or is new, and those that are gone."""
+    seen = incremental_diff(current.where(pins), stored.where(pins), key, content)
+    return seen.where(F.col("status").isin("new", "changed")).select(key), seen.where(F.col("status") == "stale").select(key)
+
+
+def forget(stored: DataFrame, paths: DataFrame, key: str = "path") -> DataFrame:
+    return stored.join(paths.select(key).distinct(), key, "left_anti")

@@ -181,3 +181,10 @@ def recovery(claimed: DataFrame, admitted: DataFrame, request: str, key: str, mo
 
 def passes() -> Iterator[str]:
     yield from ("pin", "claim", "breadth", "depth", "tail")
+
+
+def recovery_prompt(missed: DataFrame, request: str) -> DataFrame:
+    """request, prompt: what the pack left out and how to look for it; ``missed`` has at most a few rows a request."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), F.col("path"), F.lit(" ("), F.col("reason"), F.lit(")")).alias("line"))))
+    listed = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
+    return missed.groupBy(request).agg(F.concat(F.lit("Not in this pack:\n"), listed, F.lit("\nAsk for a path by name, or search the corpus for it.")).alias("prompt"))

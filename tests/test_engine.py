@@ -243,3 +243,20 @@ def test_claim_list_and_order():
     some = [base | {"key": i, "rank": i, **r} for i, r in enumerate([{"path": "a", "symbol_terms": ["x"], "relevance": 9.0}, {"path": "b", "symbol_terms": ["x"], "on_path": True, "relevance": 1.0}, {"path": "c", "relevance": 2.0, "overlap": 0}, {"path": "d", "relevance": 2.0, "overlap": 1}])]
     assert [r["key"] for r in packing.claim_order(some)] == [2, 3, 1, 0]
     assert [r["key"] for r in packing.claim_order(some, {"d"})] == [3, 2, 1, 0]
+
+
+def test_small_functions(spark):
+    assert one(spark, t.ascii_words(F.lit("Él Niño_1, él"))) == ["el", "nino_1"]
+    assert one(spark, t.path_norm(F.lit("a\\é"))) == "a/é"
+    assert one(spark, t.budget_slices(F.lit("abcde"), 2)) == ["ab", "cd", "e"] and one(spark, t.budget_slices(F.lit(""), 2)) == []
+    scored = spark.createDataFrame([(1, 1, None), (1, 2, 0.1), (1, 3, 0.9)], "q long, d long, score double")
+    assert {(r["d"], r["rank"]) for r in evaluate.rerank(scored, "q", "d").collect()} == {(3, 1), (2, 2), (1, 3)}
+    labels = spark.createDataFrame([(1, "a"), (1, "b")], "q long, path string")
+    assert evaluate.label_rate(labels, labels.where("path = 'a'"), "q").first()["rate"] == 0.5
+    assert evaluate.task_set_digest(labels, "path").first() == evaluate.task_set_digest(labels.orderBy(F.desc("path")), "path").first()
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
+    changed, gone = index.refresh_pinned(old, old.where("path = 'a'").withColumn("content_hash", F.lit("9")), F.col("path").isin("a", "b"))
+    assert [r["path"] for r in changed.collect()] == ["a"] and [r["path"] for r in gone.collect()] == ["b"]
+    assert index.forget(old, gone).count() == 2
+    missed = spark.createDataFrame([(1, 2, "y", "budget"), (1, 1, "x", "capped")], "q long, place int, path string, reason string")
+    assert "- x (capped)\n- y (budget)" in packing.recovery_prompt(missed, "q").first()["prompt"]
