@@ -7,8 +7,10 @@ shard's key, since their size grows with the data and so cannot be broadcast.
 
 Two ways to deal: ``blocks`` is exact for a small radius (fingerprints within it agree on some of the blocks of bits;
 blocks and agreeing picks follow the number of fingerprints), ``bands`` deals by the smallest permuted shingle hashes and
-finds pairs of Jaccard similarity s but for (1 - s) ** BANDS of them, which a wide radius needs.  A shard beyond ``TILE``
-fingerprints is cut into slices (TILES at most) that meet in pairs of their own.
+finds pairs of Jaccard similarity s but for (1 - s) ** BANDS of them, which a wide radius needs.  There a sketch (``BINS``
+smallest hashes, one a bin) travels along, and a pair within the radius links only if its sketches agree as well: documents
+that merely share a passage never chain.  A shard beyond ``TILE`` fingerprints is cut into slices (TILES at most) that meet
+in pairs of their own.
 
 Links within a shard come out as one star a group, never as all pairs; groups are joined by alternating large and small
 stars, cut by checkpoints.
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import U64, cut, parts, text_bytes, texts
 
 SEED, BANDS, TILE, TILES, LEAF = 42, 8, 1024, 64, 48
+#: Bins of a sketch, and the share of agreeing ones that links: 2 standard errors below a similarity of 0.8.
+BINS, AGREE = 256, 0.75
+EDGES = np.arange(BINS, dtype=U64) << U64(56)
 TURNS = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, BANDS)]
 
 
@@ -65,22 +70,46 @@ def fold(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A byte of the smallest hash in each of BINS ranges of hashes; zero where a range has none."""
+    out = np.zeros(BINS, np.uint8)
+    if len(h):
+        own = np.sort(h * TURNS[0])
+        at = np.searchsorted(own, EDGES)
+        full = np.flatnonzero(at < np.r_[at[1:], len(own)])
+        out[full] = (own[at[full]] * TURNS[1] >> U64(32)) % U64(255) + U64(1)
+    return out.tobytes()
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches (rows of ``a`` and ``b``) estimate a Jaccard similarity of AGREE or more; two empty ones do."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), 1 << 15):
+        x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+        out[i : i + (1 << 15)] = ((x == y) & (x > 0)).sum(1) >= AGREE * ((x | y) > 0).sum(1)
+    return out
+
+
 def fingerprints(docs: DataFrame, k: int = 3, bands: int = 0) -> DataFrame:
-    """doc_id, fp (as a signed long) and the band keys of every row."""
+    """doc_id, fp (as a signed long), the band keys and the sketch of every row; no bands, no sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, at = text_bytes(b.column("text"))
             raw = buf.tobytes()
-            fp, keys = [], []
+            fp, keys, sketches = [], [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 h = shingle_hashes(raw[s:e], k)
                 fp.append(fold(h))
                 if bands:
                     keys.append([int((h * t ^ (h * t >> U64(31))).min().view(np.int64)) if len(h) else 0 for t in TURNS[:bands]])
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(keys if bands else [[]] * len(fp), pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+                    sketches.append(sketch(h))
+            if not bands:
+                yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+                continue
+            yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "bands", "sketch"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>, sketch binary" * bool(bands))
 
 
 class BKTree:
@@ -112,13 +141,16 @@ class BKTree:
                 yield from child.near(own, radius)
 
 
-def shard_groups(keys: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of a shard the first place of its linked group."""
+def shard_groups(keys: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> np.ndarray:
+    """For each fingerprint of a shard the first place of its linked group; sketches, if any, must agree too."""
     label = np.arange(len(keys))
     tree = BKTree(keys, label.copy())
     for a, b in tree.near(label.copy(), radius):
         live = label[a] != label[b]
         a, b = a[live], b[live]
+        if sketches is not None:
+            same = agree(sketches[a], sketches[b])
+            a, b = a[same], b[same]
         while len(a):
             low = np.minimum(label[a], label[b])
             np.minimum.at(label, label[a], low)
@@ -144,34 +176,38 @@ def _block_keys(count: int, radius: int) -> list[Column]:
 
 
 def _links(keyed: DataFrame, radius: int) -> DataFrame:
-    """Rows of key, fp, node in; stars (a, b), a > b, of the groups of every shard out."""
+    """Rows of key, fp, node and perhaps sketch in; stars (a, b), a > b, of the groups of every shard out."""
+    more = ["sketch"] * ("sketch" in keyed.columns)
+    width = BINS if more else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((0, 5), np.int64)]
+        held, kept = np.zeros((0, 5), np.int64), np.zeros((0, width), np.uint8)
         for b in batches:
             rows = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j", "fp", "node")], 1)
             if not len(rows):
                 continue
-            rows = np.concatenate([*held, rows])
+            rows = np.concatenate([held, rows])
+            if more:
+                kept = np.concatenate([kept, np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, width)])
             new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
             last = int(new[-1]) if len(new) else 0
-            yield from stars(rows[:last], new[:-1])
-            held = [rows[last:]]
-        yield from stars(held[0], np.zeros(0, np.int64))
+            yield from stars(rows[:last], kept[:last], new[:-1])
+            held, kept = rows[last:], kept[last:]
+        yield from stars(held, kept, np.zeros(0, np.int64))
 
-    def stars(rows: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def stars(rows: np.ndarray, sketches: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[0, new, len(rows)].astype(np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         wide = np.flatnonzero(np.diff(cuts) > 1)
         for s, e in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True):
             fp, node = rows[s:e, 3].view(U64), rows[s:e, 4]
             if e - s == 2:
-                if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius:
+                if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius and (not more or agree(sketches[s : s + 1], sketches[s + 1 : e])[0]):
                     a.append(node.max(keepdims=True))
                     b.append(node.min(keepdims=True))
                 continue
             order = np.argsort(node, kind="stable")
-            group = shard_groups(np.ascontiguousarray(fp[order]), radius)
+            group = shard_groups(np.ascontiguousarray(fp[order]), radius, sketches[s:e][order] if more else None)
             far = group != np.arange(len(group))
             a.append(node[order][far])
             b.append(node[order][group[far]])
@@ -183,7 +219,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
     dealt = keyed.join(sizes, "key").withColumn("s", F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
-    dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node")
+    dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node", *more)
     n = parts(keyed)
     return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
@@ -209,6 +245,7 @@ def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) ->
     rows = cut(fingerprints(docs, k, bands))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
     if bands:
+        nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch"))
         keyed = rows.select("fp", F.posexplode("bands").alias("n", "v")).select(F.xxhash64("n", "v").alias("key"), "fp").distinct().join(nodes.where(F.col("node").isNotNull()), "fp")
     else:
         nodes = cut(nodes)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -301,6 +302,45 @@ def test_near_stage_radius(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 6 else i for i, _, _ in rows}
 
 
+def test_near_stage_against_all_pairs(spark):
+    """Edited copies of similarity 0.8 or more meet; documents that share over half of their text in a passage do not."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(90)]
+    rows = [(i, " ".join([*(word() for _ in range(30)), *passage, *(word() for _ in range(30))]), None) for i in range(60)]
+    for n, size in ((100, 60), (200, 300), (300, 2000)):
+        base = [word() for _ in range(size)]
+        for i in range(12):
+            own = list(base)
+            for x in rng.sample(range(size), max(1, size * i // 600)):
+                own[x] = word()
+            rows.append((n + i, " ".join(own), None))
+    rows += [(400, None, None), (401, " ", None), (402, "Two words", None), (403, "two  words", None)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs_of(spark, rows), 5, 18, simhash.BANDS).collect()}
+    grams = {}
+    for i, t, _ in rows:
+        w = (t or "").lower().split()
+        grams[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    for a in grams:
+        for b in grams:
+            assert got[a] == got[b] or alike(a, b) < 0.8, (a, b)
+        mates = [alike(a, b) for b in grams if b != a and got[b] == got[a]]
+        assert not mates or max(mates) >= 0.68, a
+    assert [got[i] for i in range(60)] == list(range(60)) and got[401] == 400 and got[403] == 402
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for n, common in ((40, 30), (3000, 2400)):
+        h = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+        a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:n], h[n - common :]))
+        est = ((a == b) & (a > 0)).sum() / ((a | b) > 0).sum()
+        assert abs(est - common / (2 * n - common)) < 0.09
+    empty = np.zeros((1, simhash.BINS), np.uint8)
+    assert simhash.agree(empty, empty).all() and not simhash.agree(empty, a[None]).any()
+
+
 def test_quality_held_out(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     got = quality.quality(docs, labels)
