@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.store import cut
 
@@ -112,3 +115,42 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def texts(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text (null: empty) plus ``more``; other columns never reach an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def carried(docs: DataFrame) -> tuple[list[Column], StructType]:
+    """Columns that take whole rows of ``docs`` through a narrow pass (``row``: all but text; ``raw``: text, null or not),
+    and their types; names inside ``row`` never clash with the pass's own."""
+    rest = [c for c in docs.schema if c.name != "text"]
+    row = F.struct(*[F.col(f"`{c.name}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    held = docs.select(row.alias("row"), F.col("text").alias("raw"))
+    return [row.alias("row"), F.col("text").alias("raw")], held.schema
+
+
+def restored(passed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that ``carried`` took along, with the columns of ``docs``."""
+    return passed.select(*[F.col("raw").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the folder that the cluster shares, and read again."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sieveline-")
+    path = f"{shared.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key with 1 / HEAVY of all rows or more is heavy, so at most HEAVY keys are.
+HEAVY = 1000
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with ``right``, one row a key, whose column ``count`` says how many rows of ``left`` have the key.
+
+    Heavy keys (HEAVY rows of ``right`` at most, as the counts sum to ``total``) are broadcast, so that their rows stay where
+    they are; all others are few a key and meet in a shuffle.
+    """
+    heavy = F.col(count) * HEAVY >= F.lit(total)
+    hot = right.where(heavy)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(~heavy), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, U64, loads, mix, slices, span_hashes, text_bytes, texts, token_runs
+from .common import M2, U64, carried, loads, mix, restored, slices, span_hashes, text_bytes, texts, token_runs
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 200_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -107,31 +108,58 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WO
     return out.mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>, items array<string>")
 
 
+def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, whole, in one narrow pass: no text is shuffled."""
+    columns, schema = carried(docs)
+    out = docs.select(*columns)
+    for block in _blocks(bench, block_words):
+        out = out.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(block)), schema)
+    return restored(out, docs)
+
+
+def _hits(block: Block, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int, set[str]]]]]:
+    """Slices of a batch: first and last row, words of each, and verified windows (row, first word, words, items)."""
+    buf, at = text_bytes(text)
+    for i, j in slices(at, 1 << 20):
+        low = LOWER[buf[at[i] : at[j]]]
+        start, length, first = token_runs(WORD[low], at[i : j + 1] - at[i])
+        h, found_all = span_hashes(loads(low), start, length), []
+        for n, own in block.windows.items():
+            found = block.starts(h, n)
+            row = np.searchsorted(first, found, "right") - 1
+            fits = found + n <= first[row + 1] if len(found) else np.zeros(0, bool)
+            for s, r in zip(found[fits].tolist(), row[fits].tolist(), strict=True):
+                words = b" ".join(low[start[x] : start[x] + length[x]].tobytes() for x in range(s, s + n))
+                if keys := own.get(int(fold(h[s : s + n], n)[0]), {}).get(words):
+                    found_all.append((i + r, s - int(first[r]), n, keys))
+        yield i, j, np.diff(first), found_all
+
+
 def _pass(shared):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block = shared.value
         for b in batches:
-            buf, at = text_bytes(b.column("text"))
             n_words, spans, items = np.zeros(b.num_rows, np.int64), b.column("spans").to_pylist(), b.column("items").to_pylist()
-            for i, j in slices(at, 1 << 20):
-                low = LOWER[buf[at[i] : at[j]]]
-                start, length, first = token_runs(WORD[low], at[i : j + 1] - at[i])
-                n_words[i:j] = np.diff(first)
-                h = span_hashes(loads(low), start, length)
-                for n, own in block.windows.items():
-                    found = block.starts(h, n)
-                    row = np.searchsorted(first, found, "right") - 1
-                    fits = found + n <= first[row + 1] if len(found) else np.zeros(0, bool)
-                    for s, r in zip(found[fits].tolist(), row[fits].tolist(), strict=True):
-                        words = b" ".join(low[start[x] : start[x] + length[x]].tobytes() for x in range(s, s + n))
-                        for key in own.get(int(fold(h[s : s + n], n)[0]), {}).get(words, ()):
-                            items[i + r].append(key)
-                            spans[i + r] += np.array([s - first[r], s - first[r] + n], "<i8").tobytes()
+            for i, j, count, found in _hits(shared.value, b.column("text")):
+                n_words[i:j] = count
+                for r, s, n, keys in found:
+                    items[r].extend(keys)
+                    spans[r] += np.array([s, s + n], "<i8").tobytes()
             yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(n_words), pa.array(spans, pa.binary()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
 
     return scan
 
 
+def _sieve(shared):  # noqa: ANN001, ANN202
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            free = np.ones(b.num_rows, bool)
+            for *_, found in _hits(shared.value, pc.fill_null(b.column("raw"), "")):
+                free[[r for r, *_ in found]] = False
+            yield b.filter(pa.array(free))
+
+    return scan
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     for b in batches:

@@ -4,6 +4,8 @@ Every input partition makes one sorted run of digests per digest range.  Runs th
 ``FAN`` runs of a range are merged by a multiway merge into one, and each digest keeps its count and the verified
 smallest rank (longest text, then smallest identifier).  Within a run a digest occurs once, so a group of copies adds at
 most one entry a partition, however large it is.  Ranges are as many as the input needs, so no task holds all digests.
+Texts are hashed once; the verdicts on groups of a thousandth of all rows or more (a thousand groups at most) are broadcast
+to their members, all others meet theirs in a shuffle.
 
 Defined results: a null text counts as empty; all empty texts are one group; repeated rows with one doc_id are copies of
 each other, and the first of them by rank stands for all; a null doc_id ranks last; an empty table gives an empty result.
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, text_bytes, texts
+from .common import cut, join_heavy, parts, text_bytes, texts
 
 #: Bytes that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -121,6 +123,6 @@ def winners(level: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    members = digests(docs)
-    best = winners(tree_merge(runs(members, ranges or 2 * parts(docs))))
-    return members.join(best, ["digest", "length"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    members = cut(digests(docs))
+    best = cut(winners(tree_merge(runs(members, ranges or 2 * parts(docs)))))
+    return join_heavy(members, best, ["digest", "length"], "group_size", members.count()).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sieveline.llm import chat_format, decontam, exact_dedup, html_extract, langid, line_dedup, mixing, quality, simhash, suffix_dedup
-from sieveline.llm.common import table
+from sieveline.llm.common import join_heavy, table
 
 DATA = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk int, bucket int, payload string, fp long, size long, rank long, key string, digest string, run int"
@@ -150,6 +150,30 @@ def test_decontaminate(spark, block_words):
     assert {tuple(r)[:6] for r in got} == {(i, *bench_hits(t, items)) for i, t, _ in rows}
 
 
+def test_filters_keep_whole_rows(spark):
+    """The narrow filters decide as the scoring operators do, row by row, whatever other columns there are."""
+    docs = spark.sql("SELECT id AS doc_id, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 2 = 0 THEN 'a good text of words' ELSE 'bad bad bad zz' END AS text, 'x' AS raw, id AS row, named_struct('text', 1) AS score, 1.5D AS `a.b` FROM range(40)")
+    docs = docs.union(docs.where("doc_id < 5"))
+    labels = docs.selectExpr("doc_id", "CAST(text LIKE 'a%' AS int) AS quality").distinct()
+    bench = spark.createDataFrame([(1, "good text of")], "item_id long, text string")
+    kept = quality.good(docs, labels)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    ids = {r["doc_id"] for r in quality.quality(docs, labels).where("predicted = 1").collect()}
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] in ids) and 0 < len(ids) < 40
+    free = decontam.clean(docs, bench)
+    assert free.schema == docs.schema
+    assert sorted(map(str, free.collect())) == sorted(str(r) for r in docs.collect() if "good" not in (r["text"] or ""))
+    none = docs.where(F.lit(False))
+    assert quality.good(none, labels).count() == decontam.clean(none, bench).count() == 0
+
+
+def test_heavy_join(spark):
+    left = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS v")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = join_heavy(left, right, ["k"], "n", 5000)
+    assert sorted(map(tuple, got.select("v", "k", "n").collect())) == sorted(map(tuple, left.join(right, "k").select("v", "k", "n").collect()))
+
+
 def test_decontaminate_without_benchmark(spark):
     got = decontam.decontaminate(docs_of(spark, corpus(9)), spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(got) == len(corpus(9)) and not any(r["contaminated"] for r in got)
