@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, table
-from sieveline.llm.decontam import decontaminate
+from sieveline.llm.common import stored, table
+from sieveline.llm.decontam import clean
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.mixing import mix
-from sieveline.llm.quality import quality
+from sieveline.llm.quality import good
 from sieveline.llm.simhash import BANDS, near_dedup
 
 #: Near copies share five-word shingles at a similarity of 0.8 or more: their fingerprints are at most 18 of 64 bits apart
@@ -25,7 +25,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects."""
-    return _only(docs, quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = stored(docs)
     return docs
