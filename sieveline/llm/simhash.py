@@ -13,7 +13,8 @@ that merely share a passage never chain.  A shard beyond ``TILE`` fingerprints i
 in pairs of their own.
 
 Links within a shard come out as one star a group, never as all pairs; groups are joined by alternating large and small
-stars, cut by checkpoints.
+stars, cut by checkpoints.  Hubs, shard keys and fingerprints that hold a thousandth of the rows are joined by broadcasting
+what belongs to them, a thousand rows at most.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts of fewer words than a
 shingle hash as a whole; equal fingerprints are one node, so repeated rows cost nothing; rows whose doc_id is null belong
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, parts, text_bytes, texts
+from .common import U64, cut, join_heavy, parts, text_bytes, texts
 
 SEED, BANDS, TILE, TILES, LEAF = 42, 8, 1024, 64, 48
 #: Bins of a sketch, and the share of agreeing ones that links: 2 standard errors below a similarity of 0.8.
@@ -175,7 +176,7 @@ def _block_keys(count: int, radius: int) -> list[Column]:
     return out
 
 
-def _links(keyed: DataFrame, radius: int) -> DataFrame:
+def _links(keyed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
     """Rows of key, fp, node and perhaps sketch in; stars (a, b), a > b, of the groups of every shard out."""
     more = ["sketch"] * ("sketch" in keyed.columns)
     width = BINS if more else 0
@@ -216,7 +217,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    dealt = keyed.join(sizes, "key").withColumn("s", F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)).cast("int"))
+    dealt = join_heavy(keyed, sizes, ["key"], "n", keyed.count() if total is None else total).withColumn("s", F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
     dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node", *more)
@@ -233,8 +234,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = join_heavy(both, low, ["a"], "degree", 2 * state["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
         edges = cut(small)
@@ -243,13 +244,16 @@ def components(links: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
     """doc_id, fingerprint and component_id (smallest doc_id reachable) of every row of ``docs``."""
     rows = cut(fingerprints(docs, k, bands))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    whole = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     if bands:
-        nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch"))
-        keyed = rows.select("fp", F.posexplode("bands").alias("n", "v")).select(F.xxhash64("n", "v").alias("key"), "fp").distinct().join(nodes.where(F.col("node").isNotNull()), "fp")
+        own = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")).where(F.col("node").isNotNull())
+        keyed = rows.select("fp", F.posexplode("bands").alias("n", "v")).select(F.xxhash64("n", "v").alias("key"), "fp").distinct().join(own, "fp")
+        total = whole["nodes"] * bands
     else:
-        nodes = cut(nodes)
-        keyed = nodes.where(F.col("node").isNotNull()).select("fp", "node", F.explode(F.array(*_block_keys(nodes.count(), radius))).alias("key"))
-    found = components(_links(keyed, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        keys = _block_keys(whole["nodes"], radius)
+        keyed = nodes.where(F.col("node").isNotNull()).select("fp", "node", F.explode(F.array(*keys)).alias("key"))
+        total = whole["nodes"] * len(keys)
+    found = components(_links(keyed, radius, total))
+    named = nodes.join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"), "n")
+    return join_heavy(rows.select("doc_id", "fp"), named, ["fp"], "n", whole["rows"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
