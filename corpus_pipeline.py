@@ -12,8 +12,7 @@ from sieveline.llm.mixing import mix
 from sieveline.llm.quality import good
 from sieveline.llm.simhash import BANDS, near_dedup
 
-#: Near copies share five-word shingles at a similarity of 0.8 or more: their fingerprints are at most 18 of 64 bits apart
-#: (9.7 are expected, with a standard deviation of 2.9), and their sketches agree.
+#: Near copies share five-word shingles at an exact similarity of 0.8 or more; with bands the radius has no say.
 WORDS, RADIUS = 5, 18
 
 

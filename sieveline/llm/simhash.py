@@ -6,19 +6,20 @@ follows only the edges within the radius of its own distance.  A shard's tree an
 shard's key, since their size grows with the data and so cannot be broadcast.
 
 Two ways to deal: ``blocks`` is exact for a small radius (fingerprints within it agree on some of the blocks of bits;
-blocks and agreeing picks follow the number of fingerprints), ``bands`` deals by the smallest permuted shingle hashes and
-finds pairs of Jaccard similarity s but for (1 - s) ** BANDS of them, which a wide radius needs.  There a sketch (``BINS``
-smallest hashes, one a bin) travels along, and a pair within the radius links only if its sketches agree as well: documents
-that merely share a passage never chain.  A shard beyond ``TILE`` fingerprints is cut into slices (TILES at most) that meet
-in pairs of their own.
+blocks and agreeing picks follow the number of fingerprints).  ``bands`` is for near copies by shared shingles: a node is a
+distinct set of shingle hashes, dealt by its smallest permuted hashes, so that a pair of Jaccard similarity s meets but for
+(1 - s) ** BANDS of them; a pair that meets links if the exact similarity of its sets is ``ALIKE`` or more, and neither
+fingerprint nor radius has a say.  Sets are made again from the texts of those that met another, so all others never travel.
+A shard beyond ``TILE`` fingerprints (``CROWD`` sets, ``ROOM`` hashes) is cut into slices (TILES at most) that meet in pairs
+of their own.
 
 Links within a shard come out as one star a group, never as all pairs; groups are joined by alternating large and small
 stars, cut by checkpoints.  Hubs, shard keys and fingerprints that hold a thousandth of the rows are joined by broadcasting
 what belongs to them, a thousand rows at most.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts of fewer words than a
-shingle hash as a whole; equal fingerprints are one node, so repeated rows cost nothing; rows whose doc_id is null belong
-to their fingerprint's group but never name it; an empty table gives an empty result.
+shingle hash as a whole; equal fingerprints (with bands: equal sets) are one node, so repeated rows cost nothing; rows whose doc_id is null belong
+to their node's group but never name it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import U64, cut, join_heavy, parts, text_bytes, texts
 
 SEED, BANDS, TILE, TILES, LEAF = 42, 8, 1024, 64, 48
-#: Bins of a sketch, and the share of agreeing ones that links: 2 standard errors below a similarity of 0.8.
+#: Near copies by bands: the least Jaccard similarity, as a fraction; the sets and hashes of a slice.
+ALIKE, CROWD, ROOM = (4, 5), 4096, 1 << 19
+#: Bins of a sketch, and the share of agreeing ones that estimates a similarity of about 0.8.
 BINS, AGREE = 256, 0.75
 EDGES = np.arange(BINS, dtype=U64) << U64(56)
 TURNS = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, BANDS)]
@@ -91,26 +94,50 @@ def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_set(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """A text's shingle hashes, its distinct ones in order, and the digest that names their set."""
+    h = shingle_hashes(raw, k)
+    own = np.unique(h)
+    return h, own, xxhash.xxh3_128_digest(own.tobytes())
+
+
 def fingerprints(docs: DataFrame, k: int = 3, bands: int = 0) -> DataFrame:
-    """doc_id, fp (as a signed long), the band keys and the sketch of every row; no bands, no sketch."""
+    """doc_id and fp (as a signed long) of every row; with bands also their keys, and the digest and size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, at = text_bytes(b.column("text"))
             raw = buf.tobytes()
-            fp, keys, sketches = [], [], []
+            fp, keys, digests, sizes = [], [], [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                h = shingle_hashes(raw[s:e], k)
+                if not bands:
+                    fp.append(fold(shingle_hashes(raw[s:e], k)))
+                    continue
+                h, own, digest = shingle_set(raw[s:e], k)
                 fp.append(fold(h))
-                if bands:
-                    keys.append([int((h * t ^ (h * t >> U64(31))).min().view(np.int64)) if len(h) else 0 for t in TURNS[:bands]])
-                    sketches.append(sketch(h))
+                keys.append([int((own * t ^ (own * t >> U64(31))).min().view(np.int64)) if len(own) else 0 for t in TURNS[:bands]])
+                digests.append(digest)
+                sizes.append(len(own))
             if not bands:
                 yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
                 continue
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "bands", "sketch"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "bands", "digest", "size"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>, digest binary, size long" * bool(bands))
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """digest and set (its hashes in order, eight bytes each) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, at = text_bytes(b.column("text"))
+            raw = buf.tobytes()
+            for i in range(0, b.num_rows, 1000):
+                made = [shingle_set(raw[s:e], k)[1:] for s, e in zip(at[i : i + 1000].tolist(), at[i + 1 : i + 1001].tolist(), strict=False)]
+                yield pa.record_batch([pa.array([d for _, d in made], pa.binary()), pa.array([h.tobytes() for h, _ in made], pa.binary())], names=["digest", "set"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>, sketch binary" * bool(bands))
+    return texts(docs).mapInArrow(run, "digest binary, set binary")
 
 
 class BKTree:
@@ -142,16 +169,13 @@ class BKTree:
                 yield from child.near(own, radius)
 
 
-def shard_groups(keys: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> np.ndarray:
-    """For each fingerprint of a shard the first place of its linked group; sketches, if any, must agree too."""
+def shard_groups(keys: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of a shard the first place of its linked group."""
     label = np.arange(len(keys))
     tree = BKTree(keys, label.copy())
     for a, b in tree.near(label.copy(), radius):
         live = label[a] != label[b]
         a, b = a[live], b[live]
-        if sketches is not None:
-            same = agree(sketches[a], sketches[b])
-            a, b = a[same], b[same]
         while len(a):
             low = np.minimum(label[a], label[b])
             np.minimum.at(label, label[a], low)
@@ -164,6 +188,37 @@ def shard_groups(keys: np.ndarray, radius: int, sketches: np.ndarray | None = No
     return label
 
 
+def alike_groups(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set of a shard (``at`` bounds them in ``flat``) a number of its linked group: exact similarity, all pairs."""
+    p, q = ALIKE
+    n, size = len(at) - 1, np.diff(at)
+    if n == 2:
+        common = len(np.intersect1d(flat[: at[1]], flat[at[1] :], assume_unique=True)) if q * size.min() >= p * size.max() else 0
+        return np.array([0, int((p + q) * common < p * size.sum())])
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    start = np.r_[0, np.cumsum(size)]
+    ids = np.unique(flat, return_inverse=True)[1][np.repeat(at[:-1][order] - start[:-1], size) + np.arange(len(flat))]
+    low = np.searchsorted(q * size, p * size)
+    label, mark = np.arange(n), np.zeros(len(flat) + 1, bool)
+    for i in range(1, n):
+        j = low[i]
+        if j >= i or not size[i]:
+            continue
+        own = ids[start[i] : start[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[ids[start[j] : start[i]]], start[j:i] - start[j], dtype=np.int64)
+        mark[own] = False
+        hit = np.unique(label[j:i][(p + q) * common >= p * (size[j:i] + size[i])])
+        if len(hit):
+            label[i] = hit[0]
+            if len(hit) > 1:
+                label[np.isin(label, hit)] = hit[0]
+    out = np.empty(n, np.int64)
+    out[order] = label
+    return out
+
+
 def _block_keys(count: int, radius: int) -> list[Column]:
     """Shard keys under which fingerprints within ``radius`` meet: all picks of agreeing blocks."""
     bits = max(1, count).bit_length()
@@ -177,38 +232,34 @@ def _block_keys(count: int, radius: int) -> list[Column]:
 
 
 def _links(keyed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
-    """Rows of key, fp, node and perhaps sketch in; stars (a, b), a > b, of the groups of every shard out."""
-    more = ["sketch"] * ("sketch" in keyed.columns)
-    width = BINS if more else 0
+    """Rows of key, fp and node in; stars (a, b), a > b, of the groups of every shard out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kept = np.zeros((0, 5), np.int64), np.zeros((0, width), np.uint8)
+        held = np.zeros((0, 5), np.int64)
         for b in batches:
             rows = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j", "fp", "node")], 1)
             if not len(rows):
                 continue
             rows = np.concatenate([held, rows])
-            if more:
-                kept = np.concatenate([kept, np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, width)])
             new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
             last = int(new[-1]) if len(new) else 0
-            yield from stars(rows[:last], kept[:last], new[:-1])
-            held, kept = rows[last:], kept[last:]
-        yield from stars(held, kept, np.zeros(0, np.int64))
+            yield from stars(rows[:last], new[:-1])
+            held = rows[last:]
+        yield from stars(held, np.zeros(0, np.int64))
 
-    def stars(rows: np.ndarray, sketches: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def stars(rows: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[0, new, len(rows)].astype(np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         wide = np.flatnonzero(np.diff(cuts) > 1)
         for s, e in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True):
             fp, node = rows[s:e, 3].view(U64), rows[s:e, 4]
             if e - s == 2:
-                if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius and (not more or agree(sketches[s : s + 1], sketches[s + 1 : e])[0]):
+                if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius:
                     a.append(node.max(keepdims=True))
                     b.append(node.min(keepdims=True))
                 continue
             order = np.argsort(node, kind="stable")
-            group = shard_groups(np.ascontiguousarray(fp[order]), radius, sketches[s:e][order] if more else None)
+            group = shard_groups(np.ascontiguousarray(fp[order]), radius)
             far = group != np.arange(len(group))
             a.append(node[order][far])
             b.append(node[order][group[far]])
@@ -218,13 +269,67 @@ def _links(keyed: DataFrame, radius: int, total: int | None = None) -> DataFrame
 
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     dealt = join_heavy(keyed, sizes, ["key"], "n", keyed.count() if total is None else total).withColumn("s", F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
-    tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
-    dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node", *more)
+    dealt = _tiles(dealt, "fp").select("key", "i", "j", "fp", "node")
     n = parts(keyed)
     return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _tiles(dealt: DataFrame, of: str) -> DataFrame:
+    """Each row once for every pair (i, j) of its shard's ``s`` slices that its own, by the hash of ``of``, is in."""
+    own = F.pmod(F.xxhash64(of), F.col("s")).cast("int")
+    tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
+    return dealt.withColumn("t", F.explode(tiles)).withColumn("i", F.col("t.i").cast("long")).withColumn("j", F.col("t.j").cast("long"))
+
+
+def _alike_links(docs: DataFrame, k: int, nodes: DataFrame, total: int) -> DataFrame:
+    """Stars (a, b), a > b, of the groups of sets that share a band and are alike; ``nodes`` has one row a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in ("key", "i", "j")):
+                yield from stars(held)
+                held = []
+            if not len(new):
+                held.append(b)
+                continue
+            yield from stars([*held, b.slice(0, int(new[-1]))])
+            held = [b.slice(int(new[-1]))]
+        if held:
+            yield from stars(held)
+
+    def stars(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        node, key = t.column("node").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        sets = t.column("set").to_pylist()
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(node)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wide = np.flatnonzero(np.diff(cuts) > 1)
+        for s, e in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True):
+            at = np.r_[0, np.cumsum([len(x) // 8 for x in sets[s:e]])]
+            group, own = alike_groups(np.frombuffer(b"".join(sets[s:e]), U64), at), node[s:e]
+            least = np.full(e - s, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, own)
+            far = own != least[group]
+            a.append(own[far])
+            b.append(least[group][far])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    keyed = nodes.select("digest", "node", "size", F.posexplode("bands").alias("p", "v")).select(F.xxhash64("p", "v").alias("key"), "digest", "node", "size")
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).where(F.col("n") > 1)
+    slices = F.least(F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM), F.lit(1)), F.lit(TILES)).cast("int")
+    dealt = cut(_tiles(join_heavy(keyed.drop("size"), crowds, ["key"], "n", total).withColumn("s", slices), "digest").select("key", "i", "j", "digest", "node"))
+    met = dealt.select(F.col("node").alias("doc_id")).distinct()
+    sets = shingle_sets(texts(docs).join(met, "doc_id", "left_semi"), k).groupBy("digest").agg(F.first("set").alias("set"))
+    return dealt.join(sets, "digest").select("key", "i", "j", "node", "set").repartition(parts(nodes), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that each linked node reaches, by alternating large and small stars."""
     edges, before = cut(links.distinct()), None
@@ -243,17 +348,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
     """doc_id, fingerprint and component_id (smallest doc_id reachable) of every row of ``docs``."""
-    rows = cut(fingerprints(docs, k, bands))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    rows, by = cut(fingerprints(docs, k, bands)), "digest" if bands else "fp"
+    more = [F.first("bands").alias("bands"), F.first("size").alias("size")] if bands else []
+    nodes = cut(rows.groupBy(by).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *more))
     whole = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    named = nodes.where(F.col("node").isNotNull())
     if bands:
-        own = rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")).where(F.col("node").isNotNull())
-        keyed = rows.select("fp", F.posexplode("bands").alias("n", "v")).select(F.xxhash64("n", "v").alias("key"), "fp").distinct().join(own, "fp")
-        total = whole["nodes"] * bands
+        links = _alike_links(docs, k, named, whole["nodes"] * bands)
     else:
         keys = _block_keys(whole["nodes"], radius)
-        keyed = nodes.where(F.col("node").isNotNull()).select("fp", "node", F.explode(F.array(*keys)).alias("key"))
-        total = whole["nodes"] * len(keys)
-    found = components(_links(keyed, radius, total))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"), "n")
-    return join_heavy(rows.select("doc_id", "fp"), named, ["fp"], "n", whole["rows"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        links = _links(named.select("fp", "node", F.explode(F.array(*keys)).alias("key")), radius, whole["nodes"] * len(keys))
+    found = nodes.join(components(links), "node", "left").select(by, F.coalesce("label", "node").alias("component_id"), "n")
+    rows = rows.select(*dict.fromkeys(["doc_id", "fp", by]))
+    return join_heavy(rows, found, [by], "n", whole["rows"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -354,6 +354,46 @@ def test_near_stage_against_all_pairs(spark):
     assert [got[i] for i in range(60)] == list(range(60)) and got[401] == 400 and got[403] == 402
 
 
+def test_near_stage_verifies_equal_fingerprints(spark):
+    """A refrain repeated 200 times fixes every bit; equal fingerprints alone must not drop a document."""
+    rng = random.Random(6)
+    refrain = "la le li lo lu " * 200
+    rows = [(i, refrain + " ".join(f"w{rng.randrange(5000)}" for _ in range(100)), None) for i in range(20)]
+    rows += [(50, rows[3][1].upper().replace(" ", "  "), None)]
+    got = simhash.near_dedup(docs_of(spark, rows), 5, 18, simhash.BANDS).collect()
+    assert len({r["fingerprint"] for r in got}) == 1
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 3 if i == 50 else i for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_near_stage_threshold_is_exact(spark, monkeypatch, crowd):
+    """Pairs just under a similarity of 0.8 stay apart and pairs at it link, in small and in sliced shards."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rows = []
+    for n in range(40):
+        words = [f"t{n}w{i}" for i in range(904)]
+        rows += [(10 * n, " ".join(words), None), (10 * n + 1, " ".join(words[:804] + [f"n{i}" for i in range(100)]), None)]  # 800 / 1000
+        words = [f"u{n}w{i}" for i in range(904)]
+        rows += [(10 * n + 2, " ".join(words), None), (10 * n + 3, " ".join(words[:803] + [f"n{i}" for i in range(101)]), None)]  # 799 / 1001
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs_of(spark, rows), 5, 18, simhash.BANDS).collect()}
+    tails = {i for i in got if i % 10 in (1, 3)}
+    assert all(got[i] == (i - 1 if i % 10 == 1 else i) for i in tails) and all(got[i] == i for i in got if i not in tails)
+
+
+def test_alike_groups_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 60):
+        base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        sets = [np.unique(np.r_[rng.choice(base, rng.integers(0, 41), replace=False), rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)]) for _ in range(n - 1)] + [base[:0]]
+        got = simhash.alike_groups(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+        label = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if len(np.union1d(sets[i], sets[j])) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                    label = [label[j] if x == label[i] else x for x in label]
+        assert [[a == b for b in got] for a in got.tolist()] == [[a == b for b in label] for a in label]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
     for n, common in ((40, 30), (3000, 2400)):
