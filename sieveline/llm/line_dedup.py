@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines.
 
 A unit is a line, cut further after sentence-final signs that white space follows, so that a passage pasted into the
-middle of a paragraph meets its copies; sentences of fewer than ``min_words`` words join the next short ones.  Units are normalised (ASCII lower case, runs of white space to one space), those
-of at least ``min_words`` words are hashed to 128 bits, digests are grouped over all documents, and only the occurrence of
+middle of a paragraph meets its copies; sentences of fewer than ``min_words`` words join the next short ones.  Units are
+normalised (ASCII lower case, runs of white space to one space) and hashed to 128 bits: a whole line however short it is,
+but short sentences beside longer ones together with those, so that they go only where that neighbour repeats too.  Digests are grouped over all documents, and only the occurrence of
 the smallest (doc_id, offset) stays.  What is removed keeps its byte offsets in the original UTF-8 text.
 
 Defined results: null and empty texts have no units; within one text the first of equal units stays; rows that repeat a
@@ -25,27 +26,34 @@ MIN_WORDS = 6
 
 
 def units(raw: bytes, min_words: int) -> list[tuple[int, int, bytes | None]]:
-    """Start, end and digest (None: too short to count) of every unit; together they are the whole text."""
+    """Start, end and digest (None: white space only) of every unit; together they are the whole text."""
     out: list[tuple[int, int, bytes | None]] = []
     since, held = 0, []  # of the short sentences that wait
+    before: list[bytes] = []  # words of the unit before in the same line
 
-    def close(s: int, e: int, words: list[bytes]) -> None:
+    def close(s: int, e: int, words: list[bytes], *beside: bytes) -> None:
         if e > s:
-            out.append((s, e, xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= min_words else None))
+            out.append((s, e, xxhash.xxh3_128_digest(b"\n".join([b" ".join(words), *beside])) if words else None))
+
+    def close_short(e: int) -> None:
+        if before and len(held) < min_words:
+            close(since, e, held, b" ".join(before), b"")
+        else:
+            close(since, e, held)
 
     for m in UNIT.finditer(raw):
         s, e = m.span()
         words = raw[s:e].lower().split()
         if len(words) >= min_words:
-            close(since, s, held)
+            close(since, s, held, b" ".join(words))
             close(s, e, words)
-            since, held = e, []
+            since, held, before = e, [], [] if raw[e - 1 : e] == b"\n" else words
             continue
         held += words
         if len(held) >= min_words or raw[e - 1 : e] == b"\n":
-            close(since, e, held)
-            since, held = e, []
-    close(since, len(raw), held)
+            close_short(e)
+            since, held, before = e, [], [] if raw[e - 1 : e] == b"\n" else held
+    close_short(len(raw))
     return out
 
 

@@ -115,6 +115,17 @@ def test_line_dedup(spark, rows):
     assert {r["doc_id"]: ([tuple(x) for x in r["removed"]], r["kept_text"]) for r in got} == want
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Short lines and lines without spaces go in later copies; a short sentence goes only with its longer neighbour."""
+    poem = "".join(f"five short words line {i}\n" for i in range(20))
+    chinese = "这是一个没有空格的段落" * 20 + "。\n"
+    lone = "So be it. This long sentence number {} has more words. Quite so.\n"
+    rows = [(1, "own one\n" + poem + chinese + lone.format(1), None), (2, "own two\n" + poem + chinese + lone.format(2), None), (3, lone.format(1) + "own three", None)]
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "own two\n" + lone.format(2)
+    assert got[3].split() == ["own", "three"]
+
+
 def test_units_tile_the_text():
     for t in ("", "a", "a.b c. d!\n\ne... f?g\n", "...", "3.5 kg.", "\n\n", "é. à"):
         raw, at = t.encode(), 0
