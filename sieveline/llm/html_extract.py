@@ -2,8 +2,9 @@
 
 The page becomes a tree of block elements; inline elements are transparent.  Every paragraph passes points for its length
 and commas to its ancestors, the parent in full, the next half, further ones less.  A container's points are discounted by
-its link density and weighed by what its tag and class say; the best container is kept, with siblings that score near it
-or read like its paragraphs.  Navigation, headers, footers, asides, forms, scripts, adverts, notices and reader comments
+its link density and weighed by what its tag and class say; the best container is kept.  If it lies in an article, a main
+element or a container named like one, all of that is kept but its mostly linked parts; else siblings that score near it or
+read like its paragraphs, and bare text beside it.  Navigation, headers, footers, asides, forms, scripts, adverts, notices and reader comments
 are pruned before.
 
 Defined results: a null or empty page, and one without text outside of pruned parts, gives an empty string; unclosed and
@@ -177,13 +178,14 @@ def _score(root: Node) -> list[Node]:
     return [n for n in order if n.points > 0]
 
 
-def _text(node: Node, out: list[str]) -> None:
+def _text(node: Node, out: list[str], most: float = 2.0) -> None:
+    """The text below ``node``, without parts of a link density of ``most`` or more."""
     stack: list[Iterator[tuple[str, int] | Node]] = [_runs(node)]
     while stack:
         for r in stack[-1]:
             if isinstance(r, tuple):
                 out.append(r[0])
-            elif not r.prune:
+            elif not r.prune and r.linked < most * max(1, r.size):
                 stack.append(_runs(r))
                 break
         else:
@@ -203,9 +205,17 @@ def extract(page: str | None) -> str:
     if best.up is None:
         _text(best, out)
         return "\n".join(out)
+    whole = best.up
+    while whole is not None and not (whole.tag in ("article", "main") or whole.bonus - WEIGHT.get(whole.tag, 0) >= 15 and whole.tag not in ("html", "body")):
+        whole = whole.up
+    if whole is not None:
+        _text(whole, out, 0.5)
+        return "\n".join(out)
     for k in _runs(best.up):
         if k is best:
             _text(best, out)
+        elif isinstance(k, tuple) and k[1] < 0.25 * len(k[0]):
+            out.append(k[0])
         elif isinstance(k, Node) and not k.prune and k.size:
             near = k.points > 0 and value(k) >= max(1.0, 0.2 * value(best)) and density(k) < 0.5
             reads = k.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and density(k) < 0.25

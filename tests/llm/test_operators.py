@@ -252,6 +252,15 @@ def test_html_names():
     assert html_extract.extract(page) == "Kept, all of it"
 
 
+def test_html_keeps_the_whole_article():
+    many = "".join(f"<p>First {i}, " + "words, and words, " * 35 + "</p>" for i in range(12))
+    page = f"<body><nav>no</nav><article><h1>Title</h1>bare intro<section>{many}</section><section><h2>More</h2><p>Second, short, and last of all</p></section><div><a href=x>Linked, elsewhere</a></div><aside>no</aside></article><footer>no</footer><div>Outside</div></body>"
+    for own in (page, page.replace("<article>", '<div id="content">').replace("</article>", "</div>"), page.replace("<article>", "<main><div>").replace("</article>", "</div></main>")):
+        got = html_extract.extract(own).split("\n")
+        assert got[:2] == ["Title", "bare intro"] and got[-2:] == ["More", "Second, short, and last of all"] and len(got) == 16
+    assert html_extract.extract(f"<body>Bare lead, of the page<div>{many}</div><div><a href=x>Links</a></div></body>").startswith("Bare lead, of the page\nFirst 0")
+
+
 def test_html_deep_and_long():
     deep = "<div>" * 5000 + "<p>" + "word, " * 50_000 + "</p>" + "</div>" * 5000
     assert html_extract.extract(deep).count("word") == 50_000
