@@ -84,10 +84,11 @@ SQL = {
     "op8_chat": """
         WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS n FROM conversations GROUP BY ALL),
         seen AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
-        m AS (SELECT s.*, perspective, coalesce(CAST(floor(turn / 32) AS BIGINT), -1) AS part,
+        placed AS (SELECT *, coalesce(CAST(floor(sum(length(text) + length(role) + CASE WHEN role = 'system' THEN 0 ELSE 10 END + 24) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / 1048576) AS BIGINT), 0) AS part FROM said),
+        m AS (SELECT s.*, perspective,
                      '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
                      text || '<|im_end|>' AS body
-              FROM said s JOIN seen v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
+              FROM placed s JOIN seen v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
         e AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text) AS upto FROM m)
         SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(n) - count(*) AS BIGINT) AS n_repeats,
                string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,

@@ -266,17 +266,57 @@ def test_html_deep_and_long():
     assert html_extract.extract(deep).count("word") == 50_000
 
 
+def brute_chat(rows, part_chars):
+    """conv, perspective, part -> messages, repeats, rendered text, masked pieces."""
+    talks = defaultdict(lambda: defaultdict(int))
+    for c, turn, role, text in rows:
+        talks[c][turn is not None, turn or 0, "unknown" if role is None else role, text or ""] += 1
+    out = {}
+    for c, said in talks.items():
+        for who in {k[2] for k in said} - {"system"}:
+            before = 0
+            for k in sorted(said):
+                name, text = k[2], k[3]
+                part = before // part_chars
+                before += len("<|im_start|>") + len(name if name == "system" else "user name=" + name) + 1 + len(text) + len("<|im_end|>") + 1
+                n, repeats, rendered, masks = out.get((c, who, part), (0, 0, "", ()))
+                head = "<|im_start|>" + ("assistant" if name == who else name if name == "system" else "user name=" + name) + "\n"
+                if name == who:
+                    masks += ((len(rendered) + len(head), len(rendered) + len(head) + len(text) + 10),)
+                out[c, who, part] = n + 1, repeats + said[k] - 1, rendered + head + text + "<|im_end|>\n", masks
+    return out
+
+
+def chat_of(spark, rows, part_chars=chat_format.PART):
+    """Conversations with extra columns whose names the operator uses itself."""
+    table_of = spark.createDataFrame([(*r, 0, "x", "y", 1) for r in rows], "conv_id long, turn long, role string, text string, part int, messages string, perspective string, own long")
+    got = chat_format.rotate(table_of, part_chars).collect()
+    assert len({tuple(r)[:3] for r in got}) == len(got)
+    return {tuple(r)[:3]: (r["n_messages"], r["n_repeats"], r["rendered"], tuple((m["start"], m["end"]) for m in r["masks"])) for r in got}
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", "é\nx"), (1, 2, "bob", "é\nx"), (1, 40, "ann", None), (2, 0, "system", "only"), (None, None, None, "t"), (3, 0, "ann", "")]
-    got = chat_format.rotate(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, part int")).collect()
-    seen = {(r["conv_id"], r["perspective"], r["part"]): r for r in got}
-    assert set(seen) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (None, "unknown", -1), (3, "ann", 0)}
-    r = seen[1, "bob", 0]
-    assert r["rendered"] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\né\nx<|im_end|>\n"
-    assert [r["rendered"][m["start"] : m["end"]] for m in r["masks"]] == ["é\nx<|im_end|>"] and r["n_repeats"] == 1
+    got = chat_of(spark, rows)
+    assert got == brute_chat(rows, chat_format.PART) and {k[2] for k in got} == {0}
+    assert got[1, "bob", 0][2] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\né\nx<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n"
     assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("part_chars", [chat_format.PART, 700])
+def test_chat_of_long_dialogues(spark, part_chars):
+    """Many turns, many messages in one turn, null turns and a hot conversation; beyond the limit the parts join to the whole."""
+    rng = random.Random(5)
+    rows = [(c, rng.choice([None, 3, 200 - i, i]), rng.choice(["system", "ann", "bob", "çé", None]), "".join(rng.choice("ab é😀") for _ in range(rng.randint(0, 30)))) for c in (1, None) for i in range(150)]
+    rows += [(4, i, "ann", "short") for i in range(3)] + [(5, 0, "zoe", "word " * 400)] + rows[:40]
+    got = chat_of(spark, rows, part_chars)
+    assert got == brute_chat(rows, part_chars)
+    joined = defaultdict(str)
+    for key in sorted(got, key=lambda k: (str(k[:2]), k[2])):
+        joined[key[:2]] += got[key][2]
+    assert joined == {k[:2]: v[2] for k, v in brute_chat(rows, chat_format.PART).items()}
+
+
 def brute_simhash(text, k=3):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", words) if w]
