@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..sources.store import cut
 
@@ -140,6 +141,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``) and a ``number`` that tells even equal rows apart; stored, so that it stays."""
+    return stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")))
+
+
+def rows_of(rows: DataFrame, *more: Column) -> DataFrame:
+    """number, doc_id and text (null: empty) of numbered rows, plus ``more``."""
+    return rows.select("number", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), *more)
+
+
+def positions(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``place``, 0 for the first row in order: sorted across partitions, whose counts alone are summed."""
+    df = cut(df.repartitionByRange(parts(df), *order).withColumn("_at", F.spark_partition_id()))
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_at").orderBy(*order)) - 1
+    return df.join(F.broadcast(counts), "_at").withColumn("place", (F.col("_before") + own).cast("long")).drop("_at", "_before")  # a row a partition
+
+
 #: A key with 1 / HEAVY of all rows or more is heavy, so at most HEAVY keys are.
 HEAVY = 1000
 
@@ -154,3 +174,14 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], count: str, t
     hot = right.where(heavy)
     rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(~heavy), keys)
     return left.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+#: Rows of tables of patterns or sources that are broadcast whole.
+FEW = 20_000
+
+
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``join_heavy``, but ``right``, a stored table, is broadcast whole if it has FEW rows at most; without ``count``."""
+    if right.count() <= FEW:
+        return left.join(F.broadcast(right.drop(count)), keys)
+    return join_heavy(left, right, keys, count, total).drop(count)

@@ -1,20 +1,23 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every input partition makes one sorted run of digests per digest range.  Runs then meet in binomial rounds: in each,
-``FAN`` runs of a range are merged by a multiway merge into one, and each digest keeps its count and the verified
-smallest rank (longest text, then smallest identifier).  Within a run a digest occurs once, so a group of copies adds at
-most one entry a partition, however large it is.  Ranges are as many as the input needs, so no task holds all digests.
-Texts are hashed once; the verdicts on groups of a thousandth of all rows or more (a thousand groups at most) are broadcast
-to their members, all others meet theirs in a shuffle.
-
-Defined results: a null text counts as empty; all empty texts are one group; repeated rows with one doc_id are copies of
-each other, and the first of them by rank stands for all; a null doc_id ranks last; an empty table gives an empty result.
+Every input partition makes one sorted run of digests per digest range.  Runs then meet in binomial rounds: in round k
+those whose numbers differ in bit k are exchanged and merged by a multiway merge into one, and each digest keeps its count
+and the verified smallest rank (longest text, then smallest identifier, then first row) at every level.  Within a run a
+digest occurs once, so a group of copies adds at most one entry a partition, however large it is.  Ranges are as many as
+the input needs, so no task holds all digests.  Texts are hashed once; the verdicts on groups of a thousandth of all rows
+or more (a thousand groups at most) are broadcast to their members, all others meet theirs in a shuffle.
+
+Defined results: a null text counts as empty; all empty texts are one group; a null doc_id ranks after any other, the
+largest long included; of repeated rows with one doc_id exactly one is kept; an empty table gives an empty result; columns
+beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_heavy, parts, text_bytes, texts
+from .common import cut, join_heavy, numbered, parts, rows_of, text_bytes, texts
 
 #: Bytes that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
-RUNS, FAN, LAST = 64, 4, np.iinfo(np.int64).max
-ENTRY = np.dtype([("digest", "S32"), ("length", "<i8"), ("chars", "<i8"), ("doc", "<i8"), ("n", "<i8")])
+ROUNDS, HELD = 6, 400_000
+#: A key is a digest and the length that verifies it; both sides of a comparison lose trailing zero bytes alike.
+ENTRY = np.dtype([("key", "S40"), ("chars", "<i8"), ("nameless", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("n", "<i8")])
 
 
-def digests(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, digest of the normalised text, its length in bytes, and the code points of the original text."""
-    extra = extra or []
-    schema = "doc_id long, digest binary, length long, chars long"
+def digests(rows: DataFrame) -> DataFrame:
+    """number, doc_id, key (digest of the normalised text and its length), and the code points of the original text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -41,26 +43,58 @@ def digests(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
             raw = buf.tobytes()
             units = [raw[s:e].translate(None, SPACE) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array([hashlib.sha256(u).digest() for u in units], pa.binary()), pa.array([len(u) for u in units], pa.int64()), pc.utf8_length(b.column("text")).cast(pa.int64())],
-                names=["doc_id", "digest", "length", "chars"],
+                [b.column("number"), b.column("doc_id"), pa.array([hashlib.sha256(u).digest() + len(u).to_bytes(8, "big") for u in units], pa.binary()), pc.utf8_length(b.column("text")).cast(pa.int64())],
+                names=["number", "doc_id", "key", "chars"],
             )
 
-    return texts(docs).mapInArrow(run, schema)
-
+    return rows.mapInArrow(run, "number long, doc_id long, key binary, chars long")
+
+
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted runs as one: keys of both keep the better rank and the sum of their counts."""
+    place = np.searchsorted(a["key"], b["key"])
+    shared = place < len(a)
+    shared[shared] = a["key"][place[shared]] == b["key"][shared]
+    new = np.flatnonzero(~shared)
+    out = np.empty(len(a) + len(new), ENTRY)
+    theirs = np.zeros(len(out), bool)
+    theirs[place[new] + np.arange(len(new))] = True
+    out[theirs], out[~theirs] = b[new], a
+    if shared.any():
+        at, other = np.flatnonzero(~theirs)[place[shared]], b[shared]
+        own = out[at]
+        total, better = own["n"] + other["n"], np.zeros(len(own), bool)
+        tied = np.ones(len(own), bool)
+        for name, sign in (("chars", -1), ("nameless", 1), ("doc", 1), ("row", 1)):
+            x, y = own[name], other[name]
+            better |= tied & (y > x if sign < 0 else y < x)
+            tied &= x == y
+        own[better] = other[better]
+        own["n"] = total
+        out[at] = own
+    return out
 
-def merged(entries: np.ndarray) -> np.ndarray:
-    """Multiway merge: one entry a digest (and length, which verifies it), with the best rank and the summed count.
 
-    S32 drops trailing zero bytes when it compares, for both sides alike, so equal digests stay equal; the length in the
-    key and 32 bytes of digest leave no two different texts together.
-    """
-    if not len(entries):
-        return entries
-    entries = entries[np.lexsort((entries["doc"], -entries["chars"], entries["length"], entries["digest"]))]
-    d, length = entries["digest"], entries["length"]
-    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (length[1:] != length[:-1])])
-    out = entries[head].copy()
-    out["n"] = np.add.reduceat(entries["n"], head)
+def multiway(runs: Iterable[np.ndarray]) -> np.ndarray:
+    """One sorted run of many, the shortest two at a time."""
+    turn = count()
+    heap = [(len(r), next(turn), r) for r in runs]
+    if not heap:
+        return np.zeros(0, ENTRY)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        r = merge(heapq.heappop(heap)[2], heapq.heappop(heap)[2])
+        heapq.heappush(heap, (len(r), next(turn), r))
+    return heap[0][2]
+
+
+def sorted_run(e: np.ndarray) -> np.ndarray:
+    """Entries in any order as a run: sorted by key, one entry a key."""
+    e = e[np.lexsort((e["row"], e["doc"], e["nameless"], -e["chars"], e["key"]))]
+    head = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]]) if len(e) else np.zeros(0, np.int64)
+    out = e[head]
+    if len(e):
+        out["n"] = np.add.reduceat(e["n"], head)
     return out
 
 
@@ -68,42 +102,40 @@ def runs(members: DataFrame, ranges: int) -> DataFrame:
     """Sorted runs of the input's partitions: range, run, entries."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, run = np.zeros(0, ENTRY), 0
+        held, run = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             run = b.column("run")[0].as_py()
             e = np.zeros(b.num_rows, ENTRY)
-            e["digest"] = np.array(b.column("digest").to_pylist(), "S32")
-            e["length"], e["chars"] = b.column("length").to_numpy(), b.column("chars").to_numpy()
-            e["doc"], e["n"] = pc.fill_null(b.column("doc_id"), LAST).to_numpy(), 1
-            held = merged(np.concatenate([held, e]))
-            if len(held) > 400_000:
-                yield from deal(held, run)
-                held = np.zeros(0, ENTRY)
-        yield from deal(held, run)
+            e["key"] = np.array(b.column("key").to_pylist(), "S40")
+            e["chars"], e["row"], e["n"] = b.column("chars").to_numpy(), b.column("number").to_numpy(), 1
+            e["nameless"], e["doc"] = pc.is_null(b.column("doc_id")).to_numpy(zero_copy_only=False), pc.fill_null(b.column("doc_id"), 0).to_numpy()
+            held.append(sorted_run(e))
+            if sum(map(len, held)) > HELD:
+                yield from deal(multiway(held), run)
+                held = []
+        yield from deal(multiway(held), run)
 
     def deal(e: np.ndarray, run: int) -> Iterator[pa.RecordBatch]:
         if len(e):
-            head = np.frombuffer(e["digest"].tobytes(), np.uint8).reshape(-1, 32)[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+            head = np.frombuffer(e["key"].tobytes(), np.uint8).reshape(-1, 40)[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
             of = head * ranges >> 32
             cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(e)]
             yield pa.record_batch([pa.array(of[cuts[:-1]], pa.int32()), pa.array([run] * (len(cuts) - 1), pa.int32()), pa.array([e[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["range", "run", "entries"])
 
-    return members.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(RUNS))).mapInArrow(make, "range int, run int, entries binary")
+    return members.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(1 << ROUNDS))).mapInArrow(make, "range int, run int, entries binary")
 
 
 def tree_merge(level: DataFrame) -> DataFrame:
-    """Binomial rounds: runs r with the same r // FAN meet, until one run a range is left."""
+    """Binomial rounds: the two halves of each pair of run numbers meet, until one run a range is left."""
 
     def meet(t: pa.Table) -> pa.Table:
-        e = merged(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in t.column("entries").combine_chunks()]))
+        e = multiway(np.frombuffer(x.as_buffer(), ENTRY) for x in t.column("entries").combine_chunks())
         return pa.table({"range": t.column("range")[:1], "run": t.column("run")[:1], "entries": pa.array([e.tobytes()], pa.binary())})
 
-    left = RUNS
-    while left > 1:
-        level = level.withColumn("run", F.expr(f"run div {FAN}").cast("int")).groupBy("range", "run").applyInArrow(meet, "range int, run int, entries binary")
-        left = -(-left // FAN)
+    for _ in range(ROUNDS):
+        level = level.withColumn("run", F.shiftright("run", 1)).groupBy("range", "run").applyInArrow(meet, "range int, run int, entries binary")
     return level
 
 
@@ -112,17 +144,30 @@ def winners(level: DataFrame) -> DataFrame:
         for b in batches:
             for x in b.column("entries"):
                 e = np.frombuffer(x.as_buffer(), ENTRY)
-                raw = e["digest"].tobytes()
+                raw = e["key"].tobytes()
                 yield pa.record_batch(
-                    [pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), pa.array(e["length"].copy()), pa.array(e["doc"], mask=e["doc"] == LAST), pa.array(e["chars"].copy()), pa.array(e["n"].copy())],
-                    names=["digest", "length", "keep_id", "keep_chars", "group_size"],
+                    [pa.array([raw[i : i + 40] for i in range(0, len(raw), 40)], pa.binary()), pa.array(e["doc"], mask=e["nameless"] != 0), pa.array(e["row"].copy()), pa.array(e["n"].copy())],
+                    names=["key", "keep_id", "keep_number", "group_size"],
                 )
 
-    return level.mapInArrow(unpack, "digest binary, length long, keep_id long, keep_chars long, group_size long")
+    return level.mapInArrow(unpack, "key binary, keep_id long, keep_number long, group_size long")
+
+
+def _verdicts(rows: DataFrame, ranges: int | None) -> DataFrame:
+    """number, doc_id, keep_id, keep_number, group_size and key of rows of number, doc_id and text."""
+    members = cut(digests(rows))
+    best = cut(winners(tree_merge(runs(members, ranges or parts(rows)))))
+    return join_heavy(members, best, ["key"], "group_size", members.count())
 
 
 def exact_dedup(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    members = cut(digests(docs))
-    best = cut(winners(tree_merge(runs(members, ranges or 2 * parts(docs)))))
-    return join_heavy(members, best, ["digest", "length"], "group_size", members.count()).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = _verdicts(texts(docs, F.monotonically_increasing_id().alias("number")), ranges)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("number") == F.col("keep_number")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
+
+
+def unique(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one of each group."""
+    rows = numbered(docs)
+    kept = _verdicts(rows_of(rows), ranges).where(F.col("number") == F.col("keep_number")).select("number")
+    return rows.join(kept, "number", "left_semi").select("row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, exact_dedup, html_extract, langid, line_dedup, mixing, quality, simhash, suffix_dedup
-from .common import table
+from .common import cut, join_sized, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,9 +36,9 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
-    known = F.broadcast(spark.createDataFrame([(s, n, t) for s, (n, t) in sources.items()], "own string, source_size long, target double"))  # MAX_PATTERNS rows at most
-    return out.join(known, F.element_at("sources", 1).eqNullSafe(F.col("own"))).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    out, sources = mixing.mix(docs, F.array("source"))
+    return join_sized(out, cut(sources), ["key"], "n", docs.count()).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,29 @@
 
 A text's fingerprint has a bit set where over half of its word shingles' 64-bit hashes have it.  Distinct fingerprints are
 dealt into shards; each shard is a BK-tree, children keyed by their integer Hamming distance to the parent, and a query
-follows only the edges within the radius of its own distance.  A shard's tree and its queries travel together by the
-shard's key, since their size grows with the data and so cannot be broadcast.
+follows only the edges within the radius of its own distance.  Trees of many shards are built and walked at once, level by
+level.  A shard's tree and its queries travel together by the shard's key, since their size grows with the data and so
+cannot be broadcast.
 
 Two ways to deal: ``blocks`` is exact for a small radius (fingerprints within it agree on some of the blocks of bits;
 blocks and agreeing picks follow the number of fingerprints).  ``bands`` is for near copies by shared shingles: a node is a
-distinct set of shingle hashes, dealt by its smallest permuted hashes, so that a pair of Jaccard similarity s meets but for
-(1 - s) ** BANDS of them; a pair that meets links if the exact similarity of its sets is ``ALIKE`` or more, and neither
-fingerprint nor radius has a say.  Sets are made again from the texts of those that met another, so all others never travel.
-A shard beyond ``TILE`` fingerprints (``CROWD`` sets, ``ROOM`` hashes) is cut into slices (TILES at most) that meet in pairs
-of their own.
+distinct set of shingle hashes with the fingerprint of that set, dealt by its smallest permuted hashes, so that a pair of
+Jaccard similarity s meets but for (1 - s) ** BANDS of them.  The shard's BK-tree finds partners within ``radius``, sketches
+drop those that cannot be alike, and only sets with a partner left are made again from their texts: a pair links if the
+exact similarity of its sets is ``ALIKE`` or more.
+
+A shard beyond ``TILE`` fingerprints is cut into slices (TILES at most) that meet in pairs of their own.  A shard beyond
+``CROWD`` sets (``ROOM`` hashes) is cut into slices that first link within themselves; then only the sets outside the shard's
+largest linked group, in blocks, meet all slices, so that rows stay linear in a dense group of any number of texts.
 
 Links within a shard come out as one star a group, never as all pairs; groups are joined by alternating large and small
 stars, cut by checkpoints.  Hubs, shard keys and fingerprints that hold a thousandth of the rows are joined by broadcasting
 what belongs to them, a thousand rows at most.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts of fewer words than a
-shingle hash as a whole; equal fingerprints (with bands: equal sets) are one node, so repeated rows cost nothing; rows whose doc_id is null belong
-to their node's group but never name it; an empty table gives an empty result.
+shingle hash as a whole; equal fingerprints (with bands: equal sets) are one node, so repeated rows cost nothing; rows whose
+doc_id is null link like any other but name a group only if it has no doc_id at all; exactly one row of a group is its
+representative, repeated doc_ids or not; an empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +38,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, join_heavy, parts, text_bytes, texts
-
-SEED, BANDS, TILE, TILES, LEAF = 42, 8, 1024, 64, 48
-#: Near copies by bands: the least Jaccard similarity, as a fraction; the sets and hashes of a slice.
-ALIKE, CROWD, ROOM = (4, 5), 4096, 1 << 19
-#: Bins of a sketch, and the share of agreeing ones that estimates a similarity of about 0.8.
-BINS, AGREE = 256, 0.75
+from .common import U64, cut, join_heavy, loads, numbered, parts, rows_of, slices, span_hashes, text_bytes, texts, token_runs
+from .decontam import LOWER
+from .decontam import fold as words_fold
+
+SEED, BANDS, TILE, TILES = 42, 8, 1024, 64
+#: Fingerprints that meet in one walk of the trees.
+WALK = 1 << 20
+#: Near copies by bands: the least Jaccard similarity, as a fraction; the sets and hashes of a slice; exact comparisons at once.
+ALIKE, CROWD, ROOM, NEAREST = (4, 5), 4096, 1 << 19, 32
+#: Bins of a sketch, and the least share of agreeing ones; a pair of similarity 0.8 falls short of it by six standard errors.
+BINS, AGREE = 256, 0.65
 EDGES = np.arange(BINS, dtype=U64) << U64(56)
-TURNS = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, BANDS)]
+TURNS = np.random.default_rng(5).integers(1, 2**63, BANDS).astype(U64) | U64(1)
+SHOWN = np.ones(256, np.uint8)
+SHOWN[[9, 10, 11, 12, 13, 32]] = 0
 
 
 def shingle_hashes(raw: bytes, k: int) -> np.ndarray:
@@ -87,133 +98,185 @@ def sketch(h: np.ndarray) -> bytes:
 
 def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches (rows of ``a`` and ``b``) estimate a Jaccard similarity of AGREE or more; two empty ones do."""
-    out = np.empty(len(a), bool)
-    for i in range(0, len(a), 1 << 15):
-        x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
-        out[i : i + (1 << 15)] = ((x == y) & (x > 0)).sum(1) >= AGREE * ((x | y) > 0).sum(1)
-    return out
+    return ((a == b) & (a > 0)).sum(1) >= AGREE * ((a | b) > 0).sum(1)
 
 
-def shingle_set(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """A text's shingle hashes, its distinct ones in order, and the digest that names their set."""
-    h = shingle_hashes(raw, k)
-    own = np.unique(h)
-    return h, own, xxhash.xxh3_128_digest(own.tobytes())
+def sets_of(text: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of its distinct k-word shingles (of fewer words: of the whole), in order; any good hash serves."""
+    buf, at = text_bytes(text)
+    for i, j in slices(at, 1 << 20):
+        low = LOWER[buf[at[i] : at[j]]]
+        start, length, first = token_runs(SHOWN[low], at[i : j + 1] - at[i])
+        words = span_hashes(loads(low), start, length)
+        whole = words_fold(words, k)
+        for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield np.unique(whole[s : e - k + 1]) if e - s >= k else words_fold(words[s:e], e - s) if e > s else words[:0]
 
 
-def fingerprints(docs: DataFrame, k: int = 3, bands: int = 0) -> DataFrame:
-    """doc_id and fp (as a signed long) of every row; with bands also their keys, and the digest and size of its set."""
+def fingerprints(rows: DataFrame, k: int = 3, bands: int = 0) -> DataFrame:
+    """number, doc_id and fp (as a signed long) of every row; with bands also their keys, and digest, size and sketch of its set."""
+    schema = "number long, doc_id long, fp long" + ", bands array<long>, digest binary, size long, sketch binary" * bool(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, at = text_bytes(b.column("text"))
-            raw = buf.tobytes()
-            fp, keys, digests, sizes = [], [], [], []
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if not bands:
-                    fp.append(fold(shingle_hashes(raw[s:e], k)))
-                    continue
-                h, own, digest = shingle_set(raw[s:e], k)
-                fp.append(fold(h))
-                keys.append([int((own * t ^ (own * t >> U64(31))).min().view(np.int64)) if len(own) else 0 for t in TURNS[:bands]])
-                digests.append(digest)
-                sizes.append(len(own))
+            columns = [b.column("number"), b.column("doc_id")]
             if not bands:
-                yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
-                continue
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "bands", "digest", "size"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>, digest binary, size long" * bool(bands))
-
-
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """digest and set (its hashes in order, eight bytes each) of every row."""
+                buf, at = text_bytes(b.column("text"))
+                raw = buf.tobytes()
+                columns.append(pa.array([fold(shingle_hashes(raw[s:e], k)) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()))
+            else:
+                fp, keys, digests, sizes, sketches = [], [], [], [], []
+                for own in sets_of(b.column("text"), k):
+                    turned = own[:, None] * TURNS[:bands]
+                    fp.append(fold(own))
+                    keys.append((turned ^ (turned >> U64(31))).min(0).view(np.int64) if len(own) else np.zeros(bands, np.int64))
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    sizes.append(len(own))
+                    sketches.append(sketch(own))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fp) * bands + 1, bands), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                columns += [pa.array(fp, pa.int64()), lists, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.record_batch(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.mapInArrow(run, schema)
+
+
+def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
+    """node (the row's number) and set (its hashes in order, eight bytes each) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, at = text_bytes(b.column("text"))
-            raw = buf.tobytes()
             for i in range(0, b.num_rows, 1000):
-                made = [shingle_set(raw[s:e], k)[1:] for s, e in zip(at[i : i + 1000].tolist(), at[i + 1 : i + 1001].tolist(), strict=False)]
-                yield pa.record_batch([pa.array([d for _, d in made], pa.binary()), pa.array([h.tobytes() for h, _ in made], pa.binary())], names=["digest", "set"])
-
-    return texts(docs).mapInArrow(run, "digest binary, set binary")
-
-
-class BKTree:
-    """A BK-tree over distinct fingerprints; nodes of up to LEAF of them stay flat and are compared at once."""
-
-    __slots__ = ("at", "edges", "flat", "keys")
-
-    def __init__(self, keys: np.ndarray, at: np.ndarray) -> None:
-        self.keys, self.at, self.edges, self.flat = keys, at, {}, len(at) <= LEAF
-        if not self.flat:
-            rest = at[1:]
-            far = np.bitwise_count(keys[rest] ^ keys[at[0]])
-            self.edges = {int(d): BKTree(keys, rest[far == d]) for d in np.unique(far)}
+                made = [x.tobytes() for x in sets_of(b.column("text").slice(i, 1000), k)]
+                yield pa.record_batch([b.column("number").slice(i, len(made)), pa.array(made, pa.binary())], names=["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set binary")
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of each range [low, high), and which range each is of."""
+    size = high - low
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of], of
+
+
+class BKTrees:
+    """The BK-trees of consecutive shards of fingerprints: ``keys`` in order of shard, ``cuts`` their bounds.
+
+    Every place in ``keys`` is a node.  All trees grow by one level at a time: of the fingerprints that wait at an edge
+    (parent, distance), the first becomes the child and the others wait at its edges.  Edges are held sorted by parent and
+    distance, so that the edges within a radius are one range.  An equal fingerprint hangs at distance 0.
+    """
+
+    def __init__(self, keys: np.ndarray, cuts: np.ndarray) -> None:
+        self.keys, self.root = keys, np.repeat(cuts[:-1], np.diff(cuts))
+        wait = np.flatnonzero(self.root != np.arange(len(keys)))
+        parent, edges, children = self.root[wait], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(wait):
+            edge = parent * 65 + np.bitwise_count(keys[wait] ^ keys[parent])
+            order = np.argsort(edge, kind="stable")
+            edge, wait = edge[order], wait[order]
+            head = np.r_[True, edge[1:] != edge[:-1]]
+            edges.append(edge[head])
+            children.append(wait[head])
+            parent = np.repeat(wait[head], np.diff(np.r_[np.flatnonzero(head), len(wait)]))[~head]
+            wait = wait[~head]
+        edge, child = np.concatenate(edges), np.concatenate(children)
+        order = np.argsort(edge)
+        self.edge, self.child = edge[order], child[order]
 
     def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) of places in ``keys`` at most ``radius`` apart."""
-        if self.flat:
-            for i in range(0, len(queries), 1 << 14):
-                q = queries[i : i + (1 << 14)]
-                a, b = np.nonzero(np.bitwise_count(self.keys[q][:, None] ^ self.keys[self.at][None, :]) <= radius)
-                yield q[a], self.at[b]
-            return
-        far = np.bitwise_count(self.keys[queries] ^ self.keys[self.at[0]]).astype(np.int64)
-        hit = queries[far <= radius]
-        yield hit, np.full(len(hit), self.at[0])
-        for d, child in self.edges.items():
-            own = queries[np.abs(far - d) <= radius]
-            if len(own):
-                yield from child.near(own, radius)
-
-
-def shard_groups(keys: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of a shard the first place of its linked group."""
-    label = np.arange(len(keys))
-    tree = BKTree(keys, label.copy())
-    for a, b in tree.near(label.copy(), radius):
+        """Pairs (query, node) of places of one shard at most ``radius`` apart, the queries themselves included."""
+        node = self.root[queries]
+        while len(queries):
+            far = np.bitwise_count(self.keys[queries] ^ self.keys[node]).astype(np.int64)
+            hit = far <= radius
+            yield queries[hit], node[hit]
+            low = np.searchsorted(self.edge, node * 65 + np.maximum(far - radius, 0))
+            high = np.searchsorted(self.edge, node * 65 + np.minimum(far + radius, 64), "right")
+            at, of = spread(low, high)
+            queries, node = queries[of], self.child[at]
+
+    def walks(self, cuts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (a, b), a > b, of all shards, so many queries at once that about WALK nodes can be visited."""
+        load = np.cumsum(np.repeat(np.diff(cuts), np.diff(cuts)))
+        i = 0
+        while i < len(load):
+            j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + WALK)))
+            for a, b in self.near(np.arange(i, min(j, len(load))), radius):
+                yield a[a > b], b[a > b]
+            i = j
+
+
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (of each place the first place known of its group) with the groups of the pairs (a, b) joined."""
+    live = label[a] != label[b]
+    a, b = a[live], b[live]
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        while (label[label] != label).any():
+            label = label[label]
         live = label[a] != label[b]
         a, b = a[live], b[live]
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            label = label[label]
-            while (label[label] != label).any():
-                label = label[label]
-            live = label[a] != label[b]
-            a, b = a[live], b[live]
     return label
 
 
-def alike_groups(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each set of a shard (``at`` bounds them in ``flat``) a number of its linked group: exact similarity, all pairs."""
+def linked_groups(keys: np.ndarray, cuts: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of each shard the first place of its linked group."""
+    label = np.arange(len(keys))
+    for a, b in BKTrees(keys, cuts).walks(cuts, radius):
+        label = join(label, a, b)
+    return label
+
+
+def partnered(keys: np.ndarray, cuts: np.ndarray, size: np.ndarray, sketches: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each set has another one in its shard that may be alike by fingerprint, size and sketch."""
+    p, q = ALIKE
+    found = np.zeros(len(keys), bool)
+    for a, b in BKTrees(keys, cuts).walks(cuts, radius):
+        new = ~(found[a] & found[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
+        a, b = a[new], b[new]
+        for i in range(0, len(a), 1 << 14):
+            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+            new = ~(found[x] & found[y])
+            x, y = x[new], y[new]
+            both = agree(sketches[x], sketches[y])
+            found[x[both]] = found[y[both]] = True
+    return found
+
+
+def alike_groups(flat: np.ndarray, at: np.ndarray, fp: np.ndarray, radius: int, group: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a shard (``at`` bounds them in ``flat``) a number of its linked group, by exact similarity.
+
+    ``group`` numbers groups that are linked already.  A set is compared with its nearest fingerprints first and never with
+    members of its own group, so a dense group takes few comparisons a set.
+    """
     p, q = ALIKE
     n, size = len(at) - 1, np.diff(at)
-    if n == 2:
-        common = len(np.intersect1d(flat[: at[1]], flat[at[1] :], assume_unique=True)) if q * size.min() >= p * size.max() else 0
-        return np.array([0, int((p + q) * common < p * size.sum())])
     order = np.argsort(size, kind="stable")
-    size = size[order]
-    start = np.r_[0, np.cumsum(size)]
-    ids = np.unique(flat, return_inverse=True)[1][np.repeat(at[:-1][order] - start[:-1], size) + np.arange(len(flat))]
-    low = np.searchsorted(q * size, p * size)
-    label, mark = np.arange(n), np.zeros(len(flat) + 1, bool)
+    size, fp = size[order], fp[order]
+    label = np.arange(n) if group is None else np.unique(group, return_inverse=True)[1][order]
+    start = at[:-1][order]
+    ids = np.unique(flat, return_inverse=True)[1]
+    low, mark = np.searchsorted(q * size, p * size), np.zeros(len(flat) + 1, bool)
     for i in range(1, n):
-        j = low[i]
-        if j >= i or not size[i]:
+        if low[i] >= i or not size[i]:
             continue
-        own = ids[start[i] : start[i + 1]]
+        far = np.bitwise_count(fp[low[i] : i] ^ fp[i])
+        near = np.flatnonzero((far <= radius) & (label[low[i] : i] != label[i]))
+        near = near[np.argsort(far[near], kind="stable")] + low[i]
+        own = ids[start[i] : start[i] + size[i]]
         mark[own] = True
-        common = np.add.reduceat(mark[ids[start[j] : start[i]]], start[j:i] - start[j], dtype=np.int64)
+        while len(near):
+            few, near = near[:NEAREST], near[NEAREST:]
+            places, _ = spread(start[few], start[few] + size[few])
+            common = np.add.reduceat(mark[ids[places]], np.cumsum(size[few]) - size[few], dtype=np.int64)
+            for x in np.unique(label[few[(p + q) * common >= p * (size[few] + size[i])]]).tolist():
+                label[label == x] = label[i]
+            near = near[label[near] != label[i]]
         mark[own] = False
-        hit = np.unique(label[j:i][(p + q) * common >= p * (size[j:i] + size[i])])
-        if len(hit):
-            label[i] = hit[0]
-            if len(hit) > 1:
-                label[np.isin(label, hit)] = hit[0]
     out = np.empty(n, np.int64)
     out[order] = label
     return out
@@ -231,103 +294,109 @@ def _block_keys(count: int, radius: int) -> list[Column]:
     return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows sorted by ``key``, about ``most`` rows or one group each, and the bounds of their groups."""
+
+    def cuts_of(t: pa.Table) -> np.ndarray:
+        k = np.stack([t.column(c).to_numpy() for c in key], 1)
+        return np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < most:
+            continue
+        t = pa.Table.from_batches(held)
+        cuts = cuts_of(t)
+        if len(cuts):
+            yield t.slice(0, int(cuts[-1])), np.r_[0, cuts].astype(np.int64)
+            t = t.slice(int(cuts[-1]))
+        held, rows = t.to_batches(), 0 if len(cuts) else t.num_rows
+    t = pa.Table.from_batches(held) if held else None
+    if t is not None and t.num_rows:
+        yield t, np.r_[0, cuts_of(t), t.num_rows].astype(np.int64)
+
+
+def _stars(node: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the smallest one of its group, itself left out."""
+    order = np.lexsort((node, group))
+    head = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    least = np.repeat(node[order[head]], np.diff(np.r_[head, len(order)]))
+    far = node[order] != least
+    return node[order][far], least[far]
+
+
+def _dealt(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.repartition(parts(df), *key).sortWithinPartitions(*key)
+
+
 def _links(keyed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
     """Rows of key, fp and node in; stars (a, b), a > b, of the groups of every shard out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5), np.int64)
-        for b in batches:
-            rows = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j", "fp", "node")], 1)
-            if not len(rows):
-                continue
-            rows = np.concatenate([held, rows])
-            new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
-            last = int(new[-1]) if len(new) else 0
-            yield from stars(rows[:last], new[:-1])
-            held = rows[last:]
-        yield from stars(held, np.zeros(0, np.int64))
-
-    def stars(rows: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.r_[0, new, len(rows)].astype(np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        wide = np.flatnonzero(np.diff(cuts) > 1)
-        for s, e in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True):
-            fp, node = rows[s:e, 3].view(U64), rows[s:e, 4]
-            if e - s == 2:
-                if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius:
-                    a.append(node.max(keepdims=True))
-                    b.append(node.min(keepdims=True))
-                continue
-            order = np.argsort(node, kind="stable")
-            group = shard_groups(np.ascontiguousarray(fp[order]), radius)
-            far = group != np.arange(len(group))
-            a.append(node[order][far])
-            b.append(node[order][group[far]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
+        for t, cuts in _whole(batches, ["key", "i", "j"], 1 << 15):
+            a, b = _stars(t.column("node").to_numpy(), linked_groups(t.column("fp").to_numpy().view(U64), cuts, radius))
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     dealt = join_heavy(keyed, sizes, ["key"], "n", keyed.count() if total is None else total).withColumn("s", F.least(F.ceil(F.col("n") / TILE), F.lit(TILES)).cast("int"))
-    dealt = _tiles(dealt, "fp").select("key", "i", "j", "fp", "node")
-    n = parts(keyed)
-    return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-
-
-def _tiles(dealt: DataFrame, of: str) -> DataFrame:
-    """Each row once for every pair (i, j) of its shard's ``s`` slices that its own, by the hash of ``of``, is in."""
-    own = F.pmod(F.xxhash64(of), F.col("s")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
-    return dealt.withColumn("t", F.explode(tiles)).withColumn("i", F.col("t.i").cast("long")).withColumn("j", F.col("t.j").cast("long"))
+    dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node")
+    return _dealt(dealt, ["key", "i", "j"]).mapInArrow(run, "a long, b long")
 
 
-def _alike_links(docs: DataFrame, k: int, nodes: DataFrame, total: int) -> DataFrame:
+def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total: int) -> DataFrame:
     """Stars (a, b), a > b, of the groups of sets that share a band and are alike; ``nodes`` has one row a set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            if held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in ("key", "i", "j")):
-                yield from stars(held)
-                held = []
-            if not len(new):
-                held.append(b)
-                continue
-            yield from stars([*held, b.slice(0, int(new[-1]))])
-            held = [b.slice(int(new[-1]))]
-        if held:
-            yield from stars(held)
-
-    def stars(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        node, key = t.column("node").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        sets = t.column("set").to_pylist()
-        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(node)]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        wide = np.flatnonzero(np.diff(cuts) > 1)
-        for s, e in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True):
-            at = np.r_[0, np.cumsum([len(x) // 8 for x in sets[s:e]])]
-            group, own = alike_groups(np.frombuffer(b"".join(sets[s:e]), U64), at), node[s:e]
-            least = np.full(e - s, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, own)
-            far = own != least[group]
-            a.append(own[far])
-            b.append(least[group][far])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    keyed = nodes.select("digest", "node", "size", F.posexplode("bands").alias("p", "v")).select(F.xxhash64("p", "v").alias("key"), "digest", "node", "size")
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _whole(batches, ["key"], 1 << 13):
+            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            found = partnered(t.column("fp").to_numpy().view(U64), cuts, t.column("size").to_numpy(), sketches, radius)
+            yield from t.select(["key", "node", "s"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _whole(batches, ["key", "i", "j"], 1 << 12):
+            node, fp, label = (t.column(c).to_numpy() for c in ("node", "fp", "label"))
+            sets = t.column("set")
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                raw = sets.slice(s, e - s).to_pylist()
+                at = np.r_[0, np.cumsum([len(x) // 8 for x in raw])]
+                a, b = _stars(node[s:e], alike_groups(np.frombuffer(b"".join(raw), U64), at, fp[s:e].view(U64), radius, label[s:e]))
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    keyed = nodes.select("node", "fp", "size", "sketch", F.posexplode("bands").alias("p", "v")).select(F.xxhash64("p", "v").alias("key"), "node", "fp", "size", "sketch")
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).where(F.col("n") > 1)
-    slices = F.least(F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM), F.lit(1)), F.lit(TILES)).cast("int")
-    dealt = cut(_tiles(join_heavy(keyed.drop("size"), crowds, ["key"], "n", total).withColumn("s", slices), "digest").select("key", "i", "j", "digest", "node"))
-    met = dealt.select(F.col("node").alias("doc_id")).distinct()
-    sets = shingle_sets(texts(docs).join(met, "doc_id", "left_semi"), k).groupBy("digest").agg(F.first("set").alias("set"))
-    return dealt.join(sets, "digest").select("key", "i", "j", "node", "set").repartition(parts(nodes), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    slices = F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM), F.lit(1)).cast("long")
+    shards = join_heavy(keyed, crowds, ["key"], "n", total).withColumn("s", slices)
+    small = _dealt(shards.where("s = 1").select("key", "node", "fp", "size", "sketch", "s"), ["key"]).mapInArrow(met, "key long, node long, s long")
+    dealt = cut(small.unionByName(shards.where("s > 1").select("key", "node", "s")))
+    alone = dealt.select("node").distinct()
+    texts_of = rows.join(alone.withColumnRenamed("node", "number"), "number", "left_semi")
+    sets = cut(shingle_sets(texts_of, k).join(nodes.select("node", "fp"), "node"))
+    own = F.pmod(F.xxhash64("node", "key"), F.col("s"))
+    first = dealt.select("key", own.alias("i"), F.lit(0).cast("long").alias("j"), "node", F.col("node").alias("label")).join(sets, "node")
+    links = _dealt(first, ["key", "i", "j"]).mapInArrow(stars, "a long, b long")
+    wide = dealt.where("s > 1")
+    if wide.isEmpty():
+        return links
+    links = cut(links)
+    groups = components(links)
+    wide = cut(wide.join(groups, "node", "left").select("key", "node", "s", F.coalesce("label", "node").alias("label")))
+    largest = wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
+    wide = join_heavy(wide, largest, ["key"], "n", wide.count())
+    blocks = F.ceil((F.col("n") - F.col("top.m")) / CROWD).cast("long")
+    outside = F.col("label") != F.col("top.label")
+    tile = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest(blocks, F.lit(1)))
+    mine = F.transform(F.sequence(F.lit(1).cast("long"), blocks), lambda j: tile(own, j))
+    asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda i: tile(i, block + 1))
+    tiles = F.when(blocks < 1, F.array().cast("array<struct<i:bigint,j:bigint>>")).when(outside, F.array_distinct(F.concat(mine, asked))).otherwise(mine)
+    second = wide.withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "node", "label").join(sets, "node")
+    return links.unionByName(_dealt(second, ["key", "i", "j"]).mapInArrow(stars, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -346,18 +415,36 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small)
 
 
-def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
-    """doc_id, fingerprint and component_id (smallest doc_id reachable) of every row of ``docs``."""
-    rows, by = cut(fingerprints(docs, k, bands)), "digest" if bands else "fp"
-    more = [F.first("bands").alias("bands"), F.first("size").alias("size")] if bands else []
-    nodes = cut(rows.groupBy(by).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *more))
+def _classes(rows: DataFrame, k: int, radius: int, bands: int) -> DataFrame:
+    """number, doc_id, fp and the representative (nameless, doc_id, number) of every row's group."""
+    by = "digest" if bands else "fp"
+    members = cut(fingerprints(rows, k, bands))
+    more = [F.first(c).alias(c) for c in ("fp", "bands", "size", "sketch")] if bands else []
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "number")).alias("best")
+    nodes = cut(members.groupBy(by).agg(F.min("number").alias("node"), best, F.count(F.lit(1)).alias("n"), *more))
     whole = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    named = nodes.where(F.col("node").isNotNull())
     if bands:
-        links = _alike_links(docs, k, named, whole["nodes"] * bands)
+        links = _alike_links(rows, k, radius, nodes, whole["nodes"] * bands)
     else:
         keys = _block_keys(whole["nodes"], radius)
-        links = _links(named.select("fp", "node", F.explode(F.array(*keys)).alias("key")), radius, whole["nodes"] * len(keys))
-    found = nodes.join(components(links), "node", "left").select(by, F.coalesce("label", "node").alias("component_id"), "n")
-    rows = rows.select(*dict.fromkeys(["doc_id", "fp", by]))
-    return join_heavy(rows, found, [by], "n", whole["rows"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        links = _links(nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key")), radius, whole["nodes"] * len(keys))
+    groups = components(links)
+    groups = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
+    linked = cut(nodes.select("node", "best").join(groups, "node"))
+    tops = linked.groupBy("label").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("m"))
+    tops = join_heavy(linked.select("node", "label"), tops, ["label"], "m", linked.count()).select("node", "top")
+    found = nodes.join(tops, "node", "left").select(by, F.coalesce("top", "best").alias("top"), "n")
+    return join_heavy(members.select(*dict.fromkeys(["number", "doc_id", "fp", by])), found, [by], "n", whole["rows"]).select("number", "doc_id", "fp", "top")
+
+
+def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
+    """doc_id, fingerprint and component_id (smallest doc_id reachable) of every row of ``docs``."""
+    rows = rows_of(numbered(docs)) if bands else texts(docs, F.monotonically_increasing_id().alias("number"))
+    return _classes(rows, k, radius, bands).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
+    """The rows of ``docs``, whole, that stand for their groups: of the smallest doc_id, one of each group."""
+    rows = numbered(docs)
+    kept = _classes(rows_of(rows), k, radius, bands).where(F.col("number") == F.col("top.number")).select("number")
+    return rows.join(kept, "number", "left_semi").select("row.*")
