@@ -1,25 +1,24 @@
-"""A training corpus from documents: quality, exact copies, near copies, benchmark passages, and a mix of sources."""
+"""A training corpus from documents: quality, exact copies, near copies, benchmark passages, and a mix of sources.
+
+Each stage takes any rows with doc_id, text and source: null texts count as empty, rows are told apart by a number of their
+own, so rows that repeat a doc_id (of equal text or not) are judged one by one, and every other column, whatever its name,
+passes through unchanged.  An empty table stays empty.  Ties within a group of copies go to the row that comes first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sieveline.llm.common import stored, table
 from sieveline.llm.decontam import clean
-from sieveline.llm.exact_dedup import exact_dedup
-from sieveline.llm.mixing import mix
+from sieveline.llm.exact_dedup import unique
+from sieveline.llm.mixing import mixed
 from sieveline.llm.quality import good
-from sieveline.llm.simhash import BANDS, near_dedup
-
-#: Near copies share five-word shingles at an exact similarity of 0.8 or more; with bands the radius has no say.
-WORDS, RADIUS = 5, 18
-
+from sieveline.llm.simhash import BANDS, representatives
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, null included."""
-    ids = ids.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+#: Near copies share five-word shingles at an exact similarity of 0.8 or more, and fingerprints of their sets then differ
+#: in 10 bits on average, with a standard deviation of 3; the BK-trees look for partners five of these further.
+WORDS, RADIUS = 5, 24
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +27,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Keeps one row of each group of equal texts: the longest, then of the smallest doc_id (null last)."""
+    return unique(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
-    return _only(docs, near_dedup(docs, WORDS, RADIUS, BANDS).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps one row of each group of near copies: of the smallest doc_id (null last)."""
+    return representatives(docs, WORDS, RADIUS, BANDS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +42,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often."""
-    taken = mix(docs, F.array("source"))[0].where("copies > 0").select(F.col("doc_id").alias("_taken"), "size", "copies", "taken").distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"])).drop("_taken")
+    """The documents that the mix takes, with size, copies and taken words (``mix_`` before a name that is in use)."""
+    return mixed(docs)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontaminate", benchmark_stage), ("mix", mix_stage)]
