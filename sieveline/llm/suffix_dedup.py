@@ -5,14 +5,15 @@ SPAN bytes is dealt by its minimiser, the smallest hash of its ``GRAM``-byte gra
 
 1. Chunks of documents send their distinct minimisers to hash buckets, which answer with those that two documents share.
 2. Chunks send, for each run of windows with a shared minimiser, the bytes of the run (its context), once a chunk.
-3. A bucket sorts the suffixes of its distinct contexts by prefix doubling.  In suffix order, the previous and next
-   smaller positions by doc_id give each suffix's longest previous factor; it reaches SPAN exactly where the suffix's
-   class of equal SPAN-byte prefixes begins with a smaller doc_id.
+3. A bucket sorts the suffixes of its distinct contexts by prefix doubling; a context's value is its smallest doc_id.  In
+   suffix order, the previous and next smaller values and the prefixes shared on the way to them give each suffix's
+   longest previous factor, capped at SPAN.  A window goes if that is SPAN, or if its whole context also stands in an
+   earlier document.  (A context alone with its minimiser has no previous factor, so it needs no sort.)
 4. Chunks join the removed ranges of each document and cut them out.
 
-A minimiser of more than ``hot`` occurrences sends its windows one by one instead, dealt by their own hashes, so that a
-very common line spreads over all buckets.  False agreement of minimiser hashes only adds contexts to sort; results rest
-on the bytes.
+A minimiser of more than ``hot`` occurrences sends its windows one by one instead, as contexts of SPAN bytes dealt by their
+own hashes, so that a very common line spreads over all buckets.  False agreement of minimiser hashes only adds contexts to
+sort; results rest on the bytes.
 
 Defined results: a null text is empty and loses nothing, as does any of fewer than SPAN bytes; rows that repeat a doc_id
 do not remove each other's bytes; a null doc_id counts as larger than any other; an empty table gives an empty result.
@@ -83,16 +84,59 @@ def classes(text: np.ndarray) -> np.ndarray:
     return rank
 
 
-def first_owner(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Smallest owner of each suffix's class: where it is smaller than the suffix's own, the previous smaller position in
-    suffix order shares SPAN bytes, so the longest previous factor is at least SPAN."""
-    order = np.lexsort((owner, rank))
-    head = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0]) if len(order) else order
-    out = np.empty(len(rank), np.int64)
-    out[order] = np.repeat(owner[order[head]], np.diff(np.r_[head, len(order)]))
+def common_prefixes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each suffix and the one before it in ``at`` the length of their common prefix, SPAN at most; 0 for the first.
+
+    ``words`` are the loads of the text.
+    """
+    out = np.full(len(at), SPAN, np.int64)
+    out[:1] = 0
+    open_ = np.arange(1, len(at))
+    for off in (0, 8, 16, 24, 32, 40, SPAN - 8):
+        x = words[at[open_] + off] ^ words[at[open_ - 1] + off]
+        cut = x != 0
+        last = x[cut]
+        last &= ~last + U64(1)  # the lowest bit, in the first byte that differs
+        out[open_[cut]] = off + np.bitwise_count(last - U64(1)) // 8
+        open_ = open_[~cut]
     return out
 
 
+def _reach(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Of each place the prefix it shares with the last place before it of a smaller value, if that is SPAN or more.
+
+    Places point one back and jump over those that are not smaller along their pointers, with the least prefix on the way;
+    a walk ends where that falls below SPAN.
+    """
+    back, least = np.arange(-1, len(value) - 1), shared.copy()
+    walk = np.flatnonzero(least >= SPAN)
+    walk = walk[value[back[walk]] >= value[walk]]
+    while len(walk):
+        j = back[walk]
+        least[walk] = np.minimum(least[walk], least[j])
+        back[walk] = back[j]
+        walk = walk[least[walk] >= SPAN]
+        walk = walk[value[back[walk]] >= value[walk]]
+    return least
+
+
+def longest_previous(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order: the longer of the prefixes shared with the previous and the next
+    place of smaller value; right where it is SPAN, below SPAN elsewhere."""
+    after = _reach(value[::-1], np.r_[shared[:0], np.zeros(min(1, len(shared)), np.int64), shared[:0:-1]])[::-1]
+    return np.maximum(_reach(value, shared), after)
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The upper half of a hash scaled to n buckets, up to 2 ** 32."""
+    return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+
+
+def tag_of(bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A minimiser's name: its bucket and the bits that were sent."""
+    return mix(bucket.astype(U64) * M1 ^ (h & LOW))
+
+
 def _send_minima(n: int):  # noqa: ANN202
     def send(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         _, doc, raw = in_order(t)
@@ -105,7 +149,7 @@ def _send_minima(n: int):  # noqa: ANN202
         code = np.where(d[head] != d[head + size - 1], np.clip(np.log2(size).astype(np.int64), 1, 15), 0)
         word = (h[head] & LOW) << U64(4) | code.astype(U64)
         six = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)[:, :6]
-        out = [(b, six[at].tobytes()) for b, at in groups(((h[head] >> U64(44)) % U64(n)).astype(np.int64))]
+        out = [(b, six[at].tobytes()) for b, at in groups(bucket_of(h[head], n))]
         return packed(key[0].as_py(), [b for b, _ in out], [p for _, p in out])
 
     return send
@@ -156,16 +200,16 @@ def _send_contexts(n: int):  # noqa: ANN202
         text = b"".join(raw)
         buf, at = np.frombuffer(text, np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
         h, first, count, row = run_minima(buf, at)
-        bucket = ((h >> U64(44)) % U64(n)).astype(np.int64)
+        bucket = bucket_of(h, n)
         known = [np.frombuffer(p, "<u8") for p in answers.column("payload").to_pylist()]
         dealt: dict[int, dict[tuple[int, bytes], list[int]]] = {}
         places, rows = [], []
         if known and len(h):
-            tags = np.concatenate([(np.full(len(x), b, U64) << U64(44)) | (x & LOW) for b, x in zip(answers.column("bucket").to_pylist(), known, strict=True)])
+            tags = np.concatenate([tag_of(np.full(len(x), b), x) for b, x in zip(answers.column("bucket").to_pylist(), known, strict=True)])
             often = np.concatenate(known) >> U64(63) != 0
             order = np.argsort(tags)
             tags, often = tags[order], often[order]
-            tag = bucket.astype(U64) << U64(44) | (h & LOW)
+            tag = tag_of(bucket, h)
             place = np.minimum(np.searchsorted(tags, tag), len(tags) - 1)
             hit = np.flatnonzero(tags[place] == tag)
             hot = often[place[hit]]
@@ -208,7 +252,8 @@ def _match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     unique, gid, members = np.unique(group[one], return_inverse=True, return_counts=True)
     varied = members[gid] > 1
     occ_ctx = same[ctx]
-    plain = ~varied[occ_ctx] & (doc > owner[occ_ctx])
+    later = doc > owner[occ_ctx]  # the whole context also stands in an earlier document
+    plain = ~varied[occ_ctx] & later
     spans = [(chunk[plain], row[plain], place[plain].astype(np.int64), place[plain] + size[one][occ_ctx[plain]].astype(np.int64))]
     todo = np.flatnonzero(varied)
     todo = todo[np.argsort(gid[todo], kind="stable")]
@@ -226,7 +271,9 @@ def _match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         n_win = size[one[own]].astype(np.int64) - SPAN + 1
         base = np.r_[0, np.cumsum(n_win + SPAN - 1)][:-1]
         win = np.repeat(base - np.r_[0, np.cumsum(n_win)[:-1]], n_win) + np.arange(n_win.sum())
-        least = first_owner(classes(piece)[win], np.repeat(owner[own], n_win))
+        order = np.argsort(classes(piece)[win], kind="stable")
+        previous = np.empty(len(win), bool)
+        previous[order] = longest_previous(np.repeat(owner[own], n_win)[order], common_prefixes(loads(piece), win[order])) >= SPAN
         at = np.r_[0, np.cumsum(n_win)]
         slot = np.full(k, -1)
         slot[own] = np.arange(len(own))
@@ -237,7 +284,7 @@ def _match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             each = n_win[c]
             off = np.arange(each.sum()) - np.repeat(np.r_[0, np.cumsum(each)[:-1]], each)
             whose = np.repeat(np.arange(len(o)), each)
-            gone = least[at[c][whose] + off] < doc[o][whose]
+            gone = previous[at[c][whose] + off] | later[o][whose]
             edge = np.flatnonzero(gone & ~np.r_[False, gone[:-1] & (whose[1:] == whose[:-1])])
             last = np.flatnonzero(gone & ~np.r_[gone[1:] & (whose[1:] == whose[:-1]), False])
             w = o[whose[edge]]

@@ -101,6 +101,32 @@ def test_suffix_classes_are_in_suffix_order():
     assert [order[r] for r in rank[: len(cut)].tolist()] == [want[w] for w in cut]
 
 
+def test_longest_previous_factors():
+    """Against the definition: the longest prefix shared with a suffix of smaller value, capped at SPAN."""
+    rng, span = random.Random(3), suffix_dedup.SPAN
+    for letters, n in ((b"a", 300), (b"ab", 300), (b"abcdefgh", 200), (b"a", 1)):
+        piece = bytes(rng.choice(letters) for _ in range(90))
+        text = b"".join(piece[rng.randrange(20) :] if rng.random() < 0.6 else bytes([rng.choice(letters)]) for _ in range(n))[: n + 200].ljust(n + span, b"a")
+        win = np.array(sorted(rng.sample(range(len(text) - span + 1), n)))
+        value = np.array([rng.randrange(6) for _ in win])
+        order = np.argsort(suffix_dedup.classes(np.frombuffer(text, np.uint8))[win], kind="stable")
+        shared = suffix_dedup.common_prefixes(suffix_dedup.loads(np.frombuffer(text, np.uint8)), win[order])
+        cut = [text[i : i + span] for i in win[order]]
+        assert cut == sorted(cut)
+        prefix = lambda a, b: next((i for i in range(span) if a[i] != b[i]), span)
+        assert shared.tolist() == [0, *(prefix(cut[i - 1], cut[i]) for i in range(1, n))]
+        got = suffix_dedup.longest_previous(value[order], shared)
+        want = [max((prefix(cut[i], cut[j]) for j in range(n) if value[order][j] < value[order][i]), default=0) for i in range(n)]
+        assert (got >= span).tolist() == [x >= span for x in want] and any(x >= span for x in want) == (n > 1)
+
+
+def test_suffix_buckets_use_all_bits():
+    h = np.random.default_rng(1).integers(0, 2**64, 4000, dtype=np.uint64)
+    for n in (1, 48, 3 << 20, 1 << 30):
+        b = suffix_dedup.bucket_of(h, n)
+        assert b.min() >= 0 and b.max() < n and len(set(b.tolist())) > min(n - 1, 3900)
+
+
 @pytest.mark.parametrize("rows", [corpus(8), [(5, "One two three four five six. One two three four five six.", None), (3, "x\nOne  TWO three four five six.", None)], []])
 def test_line_dedup(spark, rows):
     seen, want = set(), {}
