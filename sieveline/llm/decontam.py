@@ -5,11 +5,14 @@ fingerprint, so any shared span of ``WINDOW`` words shares one.  Kept fingerprin
 hit is extended to the ``WINDOW``-word spans around it, which are verified word by word.  An item of fewer words is one
 window of its own length, where every gram of that length is kept.
 
-The benchmark is a query set: it is cut into blocks of about ``block_words`` words, each block is broadcast, and all
-documents pass through the blocks in one narrow stage.
+The benchmark is a query set: it is cut into blocks of about ``block_words`` words, each a broadcast of its own, and every
+batch of documents is split into words once and meets the blocks one after another, in one narrow pass.  The blocks of a
+large benchmark stand side by side in a worker (about 300 bytes a word).
 
 Defined results: null or empty texts have no words, so no hits; a null item text or one without words never occurs;
-repeated items count once an item_id; an empty benchmark leaves every document clean; repeated rows give equal rows.
+repeated items count once an item_id; a null item_id hits and counts like any other, but has no name to list; an empty
+benchmark leaves every document clean; repeated rows give equal rows; columns beyond doc_id and text are ignored, and
+``clean`` keeps them.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +59,8 @@ def smallest(h: np.ndarray, w: int) -> np.ndarray:
 class Block:
     """The windows of some items: fingerprints of full windows, and for each window length its hash, words and items."""
 
-    def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        self.windows: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]]) -> None:
+        self.windows: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
         prints: list[np.ndarray] = []
         for item, text in items:
             buf = LOWER[np.frombuffer(text, np.uint8)]
@@ -91,7 +95,7 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def _blocks(bench: DataFrame, block_words: int) -> Iterator[Block]:
     """Blocks of the benchmark, one after another; only one is on the driver at a time."""
-    rows = bench.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    rows = bench.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-int(size) // (6 * block_words)))
     for i in range(count):
@@ -99,82 +103,77 @@ def _blocks(bench: DataFrame, block_words: int) -> Iterator[Block]:
         yield Block([(r["item"], r["text"].encode()) for r in part.collect()])
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans (word numbers) of every row."""
-    spark = docs.sparkSession
-    out = texts(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(b""), "items": F.array().cast("array<string>")})
-    for block in _blocks(bench, block_words):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block)), "doc_id long, text string, n_words long, spans binary, items array<string>")
-    return out.mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>, items array<string>")
-
-
-def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, whole, in one narrow pass: no text is shuffled."""
-    columns, schema = carried(docs)
-    out = docs.select(*columns)
-    for block in _blocks(bench, block_words):
-        out = out.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(block)), schema)
-    return restored(out, docs)
+def _shared(docs: DataFrame, bench: DataFrame, block_words: int) -> list[Broadcast]:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(bench, block_words)]
 
 
-def _hits(block: Block, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int, set[str]]]]]:
-    """Slices of a batch: first and last row, words of each, and verified windows (row, first word, words, items)."""
-    buf, at = text_bytes(text)
-    for i, j in slices(at, 1 << 20):
-        low = LOWER[buf[at[i] : at[j]]]
-        start, length, first = token_runs(WORD[low], at[i : j + 1] - at[i])
-        h, found_all = span_hashes(loads(low), start, length), []
-        for n, own in block.windows.items():
-            found = block.starts(h, n)
-            row = np.searchsorted(first, found, "right") - 1
-            fits = found + n <= first[row + 1] if len(found) else np.zeros(0, bool)
-            for s, r in zip(found[fits].tolist(), row[fits].tolist(), strict=True):
-                words = b" ".join(low[start[x] : start[x] + length[x]].tobytes() for x in range(s, s + n))
-                if keys := own.get(int(fold(h[s : s + n], n)[0]), {}).get(words):
-                    found_all.append((i + r, s - int(first[r]), n, keys))
-        yield i, j, np.diff(first), found_all
-
+def decontaminate(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the hit spans (word numbers) and items of every row."""
+    shared = _shared(docs, bench, block_words)
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
-def _pass(shared):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, spans, items = np.zeros(b.num_rows, np.int64), b.column("spans").to_pylist(), b.column("items").to_pylist()
-            for i, j, count, found in _hits(shared.value, b.column("text")):
+            n_words, spans, items = np.zeros(b.num_rows, np.int64), [set() for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
+            for i, j, count, found in _hits(shared, b.column("text")):
                 n_words[i:j] = count
                 for r, s, n, keys in found:
-                    items[r].extend(keys)
-                    spans[r] += np.array([s, s + n], "<i8").tobytes()
-            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(n_words), pa.array(spans, pa.binary()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+                    items[r] |= keys
+                    spans[r].add((s, s + n))
+            merged = [joined(x) for x in spans]
+            hit = [sum(e - s for s, e in x) for x in merged]
+            names = [sorted(x - {None}) for x in items]
+            yield pa.record_batch(
+                [
+                    b.column("doc_id"), pa.array(n_words), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
+                    pa.array([x > 0 for x in hit], pa.bool_()), pa.array([[{"first": s, "last": e - 1} for s, e in x] for x in merged], kind), pa.array(names, pa.list_(pa.string())),
+                ],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
+            )
+
+    return texts(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>, items array<string>")
 
-    return scan
 
+def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, whole, in one narrow pass: no text is shuffled."""
+    shared = _shared(docs, bench, block_words)
 
-def _sieve(shared):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             free = np.ones(b.num_rows, bool)
-            for *_, found in _hits(shared.value, pc.fill_null(b.column("raw"), "")):
+            for *_, found in _hits(shared, pc.fill_null(b.column("raw"), "")):
                 free[[r for r, *_ in found]] = False
             yield b.filter(pa.array(free))
 
-    return scan
+    columns, schema = carried(docs)
+    return restored(docs.select(*columns).mapInArrow(scan, schema), docs)
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    for b in batches:
-        hit, merged = [], []
-        for raw in b.column("spans").to_pylist():
-            own: list[list[int]] = []
-            for s, e in sorted(set(map(tuple, np.frombuffer(raw, "<i8").reshape(-1, 2).tolist()))):
-                if own and s <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], e)
-                else:
-                    own.append([s, e])
-            hit.append(sum(e - s for s, e in own))
-            merged.append([{"first": s, "last": e - 1} for s, e in own])
-        items = b.column("items").to_pylist()
-        yield pa.record_batch(
-            [b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(merged, kind), b.column("items")],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
-        )
+def joined(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching spans as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def _hits(shared: list[Broadcast], text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int, set[str | None]]]]]:
+    """Slices of a batch: first and last row, words of each, and verified windows (row, first word, words, items)."""
+    buf, at = text_bytes(text)
+    for i, j in slices(at, 1 << 20):
+        low = LOWER[buf[at[i] : at[j]]]
+        start, length, first = token_runs(WORD[low], at[i : j + 1] - at[i])
+        h, found_all = span_hashes(loads(low), start, length), []
+        for block in shared:
+            for n, own in block.value.windows.items():
+                found = block.value.starts(h, n)
+                row = np.searchsorted(first, found, "right") - 1
+                fits = found + n <= first[row + 1] if len(found) else np.zeros(0, bool)
+                for s, r in zip(found[fits].tolist(), row[fits].tolist(), strict=True):
+                    words = b" ".join(low[start[x] : start[x] + length[x]].tobytes() for x in range(s, s + n))
+                    if keys := own.get(int(fold(h[s : s + n], n)[0]), {}).get(words):
+                        found_all.append((i + r, s - int(first[r]), n, keys))
+        yield i, j, np.diff(first), found_all
