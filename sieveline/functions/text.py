@@ -149,3 +149,37 @@ def ascii_words(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def path_norm(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).replace("\\", "/"))
+
+
+WORDS_OF = re.compile(WORD)
+
+
+def fold_term(t: str) -> list[str]:
+    """``with_variants`` of one lower-case term."""
+    n, found = len(t), []
+    if t.endswith("s"):
+        if n >= 4 and not t.endswith(("ss", "us")):
+            found.append(t[:-1])
+        if n >= 5 and t.endswith("ies"):
+            found.append(t[:-3] + "y")
+    elif t.endswith("ing") and n >= 6:
+        found += [t[:-3], t[:-3] + "e"]
+    elif t.endswith("ed") and n >= 5:
+        if t.endswith("ied"):
+            found.append(t[:-3] + "y")
+        found += [t[:-2], t[:-2] + "e"]
+        if n >= 6 and t[-3] == t[-4]:
+            found.append(t[:-3])
+    return [t, *(v for v in dict.fromkeys(found) if v != t)]
+
+
+def fold_word(word: str) -> list[str]:
+    """``word_terms`` of one word, for passes over whole texts that fold every distinct word once."""
+    low = word.lower()
+    out = fold_term(low)
+    if "_" in word or word[1:] != low[1:]:
+        apart = re.sub("([a-z0-9])([A-Z])", r"\1_\2", re.sub("([A-Z]+)([A-Z][a-z])", r"\1_\2", word))
+        inner = [x.lower() for x in apart.split("_") if x]
+        if len(inner) > 1:
+            out = [*out, *(v for x in inner for v in fold_term(x))]
+    return out

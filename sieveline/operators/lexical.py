@@ -1,26 +1,84 @@
-"""BM25 over postings: only rows that share a term with a query are touched, and the query side is small and broadcast
-by Spark's own size check."""
+"""BM25 over postings.
+
+Texts are split once, in Arrow batches whose distinct words are folded once.  The postings of the terms that a batch of
+requests asks for are stored, a row a document; frequencies are counted from them, and documents meet requests as blocks of a
+product of two sparse matrices, so that a term of most documents costs one outer product and no join.  The requests' terms
+are broadcast up to ``ASKED`` of them; beyond that postings and requests are joined by term.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import full_identifiers, lex_terms, usable_terms, word_terms, words
+from ..functions.text import WORDS_OF, fold_word, full_identifiers, lex_terms, usable_terms, word_terms, words
+from ..sources.store import cut
 
 K1, B = 1.2, 0.75
+#: Term entries of the requests of a batch that are broadcast, scores in a block, and words whose folds a worker remembers.
+ASKED, BLOCK, KNOWN = 500_000, 1 << 21, 500_000
 
 
 def terms(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, term, one row an occurrence: words are exploded first, so that their folds compile to straight code."""
+    """key, term, one row an occurrence, for short texts: words are exploded first, so that their folds compile to straight code."""
     words_of = docs.select(*key, F.explode(words(F.col(text))).alias("word"))
     return words_of.select(*key, F.explode(word_terms(F.col("word"))).alias("term"))
 
 
+class Folds(dict):
+    """The terms of each word met so far."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= KNOWN:
+            self.clear()
+        out = self[word] = fold_word(word)
+        return out
+
+
+def bag(text: str | None, folds: Folds) -> Counter:
+    """Terms of a text and how often each occurs."""
+    out: Counter = Counter()
+    for word, n in Counter(WORDS_OF.findall(text or "")).items():
+        for term in folds[word]:
+            out[term] += n
+    return out
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf; counted before the shuffle, as each row's terms are in one place."""
-    return terms(docs, [key], text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """key, term, tf of every row, in one narrow pass; rows that repeat a key stay apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds = Folds()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                bags = [bag(x, folds) for x in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+                yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array([t for x in bags for t in x], pa.string()), pa.array([n for x in bags for n in x.values()], pa.int64())], names=[key, "term", "tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, term string, tf long")
+
+
+def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, terms: the distinct terms of every row, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds = Folds()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sets = [sorted({t for w in set(WORDS_OF.findall(x or "")) for t in folds[w]}) for x in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.string()))], names=[key, "terms"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, terms array<string>")
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -40,19 +98,98 @@ def stats(dl: DataFrame) -> DataFrame:
     return dl.agg(F.greatest(F.lit(1), F.count(F.lit(1))).cast("double").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("dl"), F.lit(1.0))).alias("avgdl"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query_terms: DataFrame, query_key: list[str]) -> DataFrame:
-    """query_key..., key, score of every pair that shares a term; ``query_terms`` has query_key..., term, times."""
-    asked = query_terms.select("term").distinct().withColumn("asked", F.col("term"))
-    # one pass: what no query asks for is counted under a null term, so only lengths and wanted postings are shuffled
-    counted = terms(docs, [key], text).join(asked, "term", "left").groupBy(key, "asked").agg(F.count(F.lit(1)).alias("tf"))
-    dl = docs.select(key).join(counted.groupBy(key).agg(F.sum("tf").alias("dl")), key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
-    post = counted.where(F.col("asked").isNotNull()).select(key, F.col("asked").alias("term"), "tf").join(dl, key)
+def _asked_postings(docs: DataFrame, key: str, text: str, place: dict[str, int]) -> DataFrame:
+    """key, dl and the postings (terms, tf) of the asked terms, of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds, known = Folds(), shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                dl, at, tf = [], [], []
+                for x in part.column(1).to_pylist():
+                    own = bag(x, folds)
+                    hit = sorted((known[t], n) for t, n in own.items() if t in known)
+                    dl.append(own.total())
+                    at.append([t for t, _ in hit])
+                    tf.append([n for _, n in hit])
+                yield pa.record_batch([part.column(0), pa.array(dl, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=[key, "dl", "terms", "tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, dl long, terms array<int>, tf array<int>")
+
+
+def bm25(docs: DataFrame, key: str, text: str, query_terms: DataFrame, query_key: list[str], most: int | None = None, digits: int | None = None) -> DataFrame:
+    """query_key..., key, score of every pair that shares a term; ``query_terms`` has query_key..., term, times.
+
+    With ``most`` only the best of each query, by score (rounded to ``digits``, if given), then key: each block of documents
+    keeps its own best first.
+    """
+    if query_terms.select("term").limit(ASKED + 1).count() > ASKED:
+        out = _joined(docs, key, text, query_terms, query_key)
+        out = out if digits is None else out.withColumn("score", F.round("score", digits))
+        return out if most is None else top_k(out, query_key, key, most).drop("rank")
+    rows = query_terms.select(F.struct(*query_key).alias("q"), "term", "times").collect()  # ASKED at most
+    places = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    queries = sorted({r["q"] for r in rows}, key=str)
+    number = {q: i for i, q in enumerate(queries)}
+    held = cut(_asked_postings(docs, key, text, places))
+    whole = stats(held).first()
+    found = {r["t"]: r["df"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()}  # ASKED at most
+    q = np.array([number[r["q"]] for r in rows], np.int64)
+    t = np.array([places[r["term"]] for r in rows], np.int64)
+    df = np.array([found.get(x, 0) for x in range(len(places))], float)
+    weight = np.array([r["times"] for r in rows], float) * np.log(1 + (whole["n"] - df + 0.5) / np.maximum(0.5, df + 0.5))[t] if rows else np.zeros(0)
+    order = np.lexsort((q, t))
+    first = np.searchsorted(t[order], np.arange(len(places) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((first, q[order], weight[order], len(queries), whole["avgdl"]))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, asks, weight, n_queries, avgdl = shared.value
+        step = max(1, BLOCK // max(1, n_queries))
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                terms = part.column("terms")
+                sizes = np.diff(np.r_[np.asarray(terms.offsets)])
+                doc = np.repeat(np.arange(part.num_rows), sizes)
+                t, tf = terms.flatten().to_numpy(), part.column("tf").flatten().to_numpy().astype(float)
+                norm = 1 - B + B * np.maximum(1, part.column("dl").to_numpy()) / avgdl
+                gain = tf * (K1 + 1) / (tf + K1 * norm[doc])
+                score = np.zeros((part.num_rows, n_queries))
+                by = np.argsort(t, kind="stable")
+                cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(t[by]) != 0]), len(t)] if len(t) else np.zeros(1, np.int64)
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    own = slice(first[t[by[s]]], first[t[by[s]] + 1])
+                    score[doc[by[s:e], None], asks[own]] += gain[by[s:e], None] * weight[own]
+                if digits is not None:
+                    score = np.round(score, digits)
+                if most is not None and part.num_rows > most:
+                    edge = -np.partition(-score, most - 1, axis=0)[most - 1]
+                    score[score < edge] = 0  # ties at the edge stay, for the keys to decide
+                d, n = np.nonzero(score)
+                yield pa.record_batch([pa.array(n.astype(np.int32)), part.column(key).take(pa.array(d)), pa.array(score[d, n])], names=["_q", key, "score"])
+
+    out = held.mapInArrow(run, f"_q int, `{key}` {kind}, score double")
+    schema = ", ".join(f"`{c}` {query_terms.schema[c].dataType.simpleString()}" for c in query_key)
+    names = docs.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(queries)], f"_q int, {schema}")
+    if most is not None:
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), F.asc(key)))).where(F.col("rank") <= most).drop("rank")
+    return out.join(F.broadcast(names), "_q").select(*query_key, key, "score")  # ASKED queries at most
+
+
+def _joined(docs: DataFrame, key: str, text: str, query_terms: DataFrame, query_key: list[str]) -> DataFrame:
+    """The same by joins on terms, for any number of requests."""
+    post = cut(postings(docs, key, text))
+    dl = docs.select(key).join(post.groupBy(key).agg(F.sum("tf").alias("dl")), key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = query_terms.join(df, "term").crossJoin(F.broadcast(stats(dl)))  # stats is one row
     weighed = weighed.withColumn("idf", idf(F.col("df"), F.col("n")))
     norm = 1 - B + B * F.greatest(F.lit(1), F.col("dl")) / F.col("avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    return post.join(weighed.drop("df", "n"), "term").groupBy(*query_key, key).agg(F.sum(part).alias("score"))
+    return post.join(dl, key).join(weighed.drop("df", "n"), "term").groupBy(*query_key, key).agg(F.sum(part).alias("score"))
 
 
 def query_terms(queries: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -19,9 +19,10 @@ CAND = f"""{BM25}, cand AS (SELECT item_id, doc_id, source AS path, rank, CAST({
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The best documents of every item: item_id, key, score, rank, tokens, path, and their terms."""
-    top = lexical.top_k(scores(spark, d).withColumn("score", F.round("score", 6)), ["item_id"], "doc_id", SHORTLIST)
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), "text")
-    return top.join(docs, "doc_id").select("item_id", F.col("doc_id").alias("key"), "score", F.col("rank").cast("long").alias("rank"), t.token_count(F.col("text")).alias("tokens"), "path", F.array_distinct(t.lex_terms(F.col("text"))).alias("terms"))
+    top = lexical.top_k(scores(spark, d, SHORTLIST), ["item_id"], "doc_id", SHORTLIST)
+    docs = table(spark, d, "documents")
+    whole = docs.select("doc_id", F.col("source").alias("path"), t.token_count(F.col("text")).alias("tokens")).join(lexical.term_sets(docs, "doc_id", "text"), "doc_id")
+    return top.join(whole, "doc_id").select("item_id", F.col("doc_id").alias("key"), "score", F.col("rank").cast("long").alias("rank"), "tokens", "path", "terms")
 
 
 def folded(first: str, ok: str, add: str) -> str:
@@ -217,7 +218,7 @@ RANKED = f"{BM25}, {REL}, rk AS ({TOP.format(20)}), h AS (SELECT rk.item_id, ran
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    ranked = lexical.top_k(scores(spark, d).withColumn("score", F.round("score", 6)), ["item_id"], "doc_id", 20)
+    ranked = lexical.top_k(scores(spark, d, 20), ["item_id"], "doc_id", 20)
     return evaluate.ranking(ranked, relevant(spark, d), "item_id", "doc_id")
 
 

@@ -86,9 +86,10 @@ BM25 = f"""{D_BAG}, {Q_BAG},
            FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
+def scores(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """Of each item all documents that share a term, or the best ``most`` by scores of six digits."""
     asked = lexical.query_terms(table(spark, d, "benchmark"), ["item_id"], "text")
-    return lexical.bm25(table(spark, d, "documents"), "doc_id", "text", asked, ["item_id"])
+    return lexical.bm25(table(spark, d, "documents"), "doc_id", "text", asked, ["item_id"], most, None if most is None else 6)
 
 
 @query(f"WITH {D_BAG} SELECT term, count(DISTINCT doc_id) AS df FROM b GROUP BY term")
@@ -118,7 +119,7 @@ TOP = "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank FROM ({TOP.format(20)})")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(scores(spark, d).withColumn("score", F.round("score", 6)), ["item_id"], "doc_id", 20).select("item_id", "doc_id", F.col("rank").cast(LONG).alias("rank"))
+    return lexical.top_k(scores(spark, d, 20), ["item_id"], "doc_id", 20).select("item_id", "doc_id", F.col("rank").cast(LONG).alias("rank"))
 
 
 PASSES = """ids AS (SELECT p_partkey, '' || p_name || ' ' || replace(p_type, ' ', '_') AS task FROM part)"""

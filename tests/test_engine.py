@@ -260,3 +260,23 @@ def test_small_functions(spark):
     assert index.forget(old, gone).count() == 2
     missed = spark.createDataFrame([(1, 2, "y", "budget"), (1, 1, "x", "capped")], "q long, place int, path string, reason string")
     assert "- x (capped)\n- y (budget)" in packing.recovery_prompt(missed, "q").first()["prompt"]
+
+
+def test_words_fold_alike_in_batches_and_columns(spark):
+    words = "cats class bus ties tied running ing ed red planned hoped FooBar HTTPServerError snake_case _x a1B2 X9 stopped_Adding iEs".split()
+    words += [w + e for w in ("a", "ab", "abc", "abb", "Abba") for e in ("", "s", "es", "ies", "ied", "ing", "ed", "ss", "us")]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.word_terms(F.col("w")).alias("t")).collect()
+    for r in rows:
+        assert sorted(r["t"]) == sorted(text.fold_word(r["w"])), r["w"]
+
+
+def test_bm25_is_the_same_by_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % 7} things" for k in range(i % 5))) for i in range(30)] + [(99, None)], "id long, text string")
+    asked = lexical.query_terms(spark.createDataFrame([(1, "word1 word2 word2 thing"), (2, "nowhere"), (3, "word6")], "q long, text string"), ["q"], "text")
+    fast = {(r["q"], r["id"]): r["score"] for r in lexical.bm25(docs, "id", "text", asked, ["q"]).collect()}
+    best = [(r["q"], r["id"]) for r in lexical.bm25(docs, "id", "text", asked, ["q"], 3, 6).collect()]
+    monkeypatch.setattr(lexical, "ASKED", 0)
+    slow = {(r["q"], r["id"]): r["score"] for r in lexical.bm25(docs, "id", "text", asked, ["q"]).collect()}
+    assert fast.keys() == slow.keys() and fast and all(abs(fast[k] - slow[k]) < 1e-9 for k in fast)
+    want = [k for q in (1, 3) for k in sorted((k for k in fast if k[0] == q), key=lambda k: (-round(fast[k], 6), k))[:3]]
+    assert sorted(best) == sorted(want) == sorted((r["q"], r["id"]) for r in lexical.bm25(docs, "id", "text", asked, ["q"], 3, 6).collect())
