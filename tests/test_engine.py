@@ -265,9 +265,9 @@ def test_small_functions(spark):
 def test_words_fold_alike_in_batches_and_columns(spark):
     words = "cats class bus ties tied running ing ed red planned hoped FooBar HTTPServerError snake_case _x a1B2 X9 stopped_Adding iEs".split()
     words += [w + e for w in ("a", "ab", "abc", "abb", "Abba") for e in ("", "s", "es", "ies", "ied", "ing", "ed", "ss", "us")]
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.word_terms(F.col("w")).alias("t")).collect()
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", t.word_terms(F.col("w")).alias("t")).collect()
     for r in rows:
-        assert sorted(r["t"]) == sorted(text.fold_word(r["w"])), r["w"]
+        assert sorted(r["t"]) == sorted(t.fold_word(r["w"])), r["w"]
 
 
 def test_bm25_is_the_same_by_joins(spark, monkeypatch):
