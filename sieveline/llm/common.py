@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,30 @@ from pyspark.sql.window import Window
 from ..sources.store import cut
 
 U64 = np.uint64
+LIBC = ctypes.CDLL(None)
 #: Odd multipliers of the 64-bit mixers; any odd values with scattered bits serve.
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+def trim() -> None:
+    """Gives freed memory back: workers live on after a task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, trimmed at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -176,6 +197,18 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], count: str, t
     return left.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+#: Numbers of rows that are broadcast to filter by: 16 MB of longs at most.
+NAMED = 2_000_000
+
+
+def among(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """The rows whose number is (``left_semi``) or is not (``left_anti``) in ``numbers``, a stored table.
+
+    NAMED numbers at most are broadcast, so that rows stay where they are; more meet them in a shuffle.
+    """
+    return rows.join(F.broadcast(numbers) if numbers.count() <= NAMED else numbers, "number", how)
+
+
 #: Rows of tables of patterns or sources that are broadcast whole.
 FEW = 20_000
 

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, U64, carried, loads, mix, restored, slices, span_hashes, text_bytes, texts, token_runs
+from .common import M2, U64, carried, loads, mix, restored, slices, span_hashes, text_bytes, texts, token_runs, tidy
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 200_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WO
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
             )
 
-    return texts(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>, items array<string>")
+    return texts(docs).mapInArrow(tidy(scan), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>, items array<string>")
 
 
 def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -146,7 +146,7 @@ def clean(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) ->
             yield b.filter(pa.array(free))
 
     columns, schema = carried(docs)
-    return restored(docs.select(*columns).mapInArrow(scan, schema), docs)
+    return restored(docs.select(*columns).mapInArrow(tidy(scan), schema), docs)
 
 
 def joined(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_heavy, numbered, parts, rows_of, text_bytes, texts
+from .common import among, cut, join_heavy, numbered, parts, rows_of, text_bytes, texts, tidy
 
 #: Bytes that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -47,7 +47,7 @@ def digests(rows: DataFrame) -> DataFrame:
                 names=["number", "doc_id", "key", "chars"],
             )
 
-    return rows.mapInArrow(run, "number long, doc_id long, key binary, chars long")
+    return rows.mapInArrow(tidy(run), "number long, doc_id long, key binary, chars long")
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,39 +124,32 @@ def runs(members: DataFrame, ranges: int) -> DataFrame:
             cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(e)]
             yield pa.record_batch([pa.array(of[cuts[:-1]], pa.int32()), pa.array([run] * (len(cuts) - 1), pa.int32()), pa.array([e[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["range", "run", "entries"])
 
-    return members.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(1 << ROUNDS))).mapInArrow(make, "range int, run int, entries binary")
+    return members.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(1 << ROUNDS))).mapInArrow(tidy(make), "range int, run int, entries binary")
 
 
 def tree_merge(level: DataFrame) -> DataFrame:
-    """Binomial rounds: the two halves of each pair of run numbers meet, until one run a range is left."""
+    """Binomial rounds: the two halves of each pair of run numbers meet; the last round tells the winner of every key."""
 
     def meet(t: pa.Table) -> pa.Table:
         e = multiway(np.frombuffer(x.as_buffer(), ENTRY) for x in t.column("entries").combine_chunks())
         return pa.table({"range": t.column("range")[:1], "run": t.column("run")[:1], "entries": pa.array([e.tobytes()], pa.binary())})
 
-    for _ in range(ROUNDS):
-        level = level.withColumn("run", F.shiftright("run", 1)).groupBy("range", "run").applyInArrow(meet, "range int, run int, entries binary")
-    return level
-
-
-def winners(level: DataFrame) -> DataFrame:
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("entries"):
-                e = np.frombuffer(x.as_buffer(), ENTRY)
-                raw = e["key"].tobytes()
-                yield pa.record_batch(
-                    [pa.array([raw[i : i + 40] for i in range(0, len(raw), 40)], pa.binary()), pa.array(e["doc"], mask=e["nameless"] != 0), pa.array(e["row"].copy()), pa.array(e["n"].copy())],
-                    names=["key", "keep_id", "keep_number", "group_size"],
-                )
+    def decide(t: pa.Table) -> pa.Table:
+        e = multiway(np.frombuffer(x.as_buffer(), ENTRY) for x in t.column("entries").combine_chunks())
+        raw = e["key"].tobytes()
+        keys = pa.array([raw[i : i + 40] for i in range(0, len(raw), 40)], pa.binary())
+        return pa.table({"key": keys, "keep_id": pa.array(e["doc"], mask=e["nameless"] != 0), "keep_number": pa.array(e["row"].copy()), "group_size": pa.array(e["n"].copy())})
 
-    return level.mapInArrow(unpack, "key binary, keep_id long, keep_number long, group_size long")
+    for left in range(ROUNDS - 1, -1, -1):
+        pairs = level.withColumn("run", F.shiftright("run", 1)).groupBy("range", "run")
+        level = pairs.applyInArrow(meet, "range int, run int, entries binary") if left else pairs.applyInArrow(decide, "key binary, keep_id long, keep_number long, group_size long")
+    return level
 
 
 def _verdicts(rows: DataFrame, ranges: int | None) -> DataFrame:
     """number, doc_id, keep_id, keep_number, group_size and key of rows of number, doc_id and text."""
     members = cut(digests(rows))
-    best = cut(winners(tree_merge(runs(members, ranges or parts(rows)))))
+    best = cut(tree_merge(runs(members, ranges or parts(rows))))
     return join_heavy(members, best, ["key"], "group_size", members.count())
 
 
@@ -169,5 +162,5 @@ def exact_dedup(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 def unique(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """The rows of ``docs``, whole, that ``exact_dedup`` keeps: one of each group."""
     rows = numbered(docs)
-    kept = _verdicts(rows_of(rows), ranges).where(F.col("number") == F.col("keep_number")).select("number")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    copies = cut(_verdicts(rows_of(rows), ranges).where(F.col("number") != F.col("keep_number")).select("number"))
+    return among(rows, copies, "left_anti").select("row.*")

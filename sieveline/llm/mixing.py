@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_sized, numbered, positions, row_sums, rows_of, text_bytes, texts
+from .common import cut, join_sized, numbered, positions, row_sums, rows_of, text_bytes, texts, tidy
 from .simhash import components
 
 RATIO, WEIGHTS, REPEAT, SEED, FILLS = 1.5, (3, 1, 2), 2, 11, 4
@@ -57,7 +57,7 @@ def sizes(rows: DataFrame, seed: int = SEED) -> DataFrame:
 
     rank = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 64 - RANK)
     rows = rows.withColumn("sources", F.array_sort(F.array_distinct("sources"))).withColumn("key", F.to_json(F.struct("sources"))).withColumn("rank", rank)
-    return rows.select("number", "doc_id", "sources", "key", "rank", "text").mapInArrow(count, "number long, doc_id long, sources array<string>, key string, rank long, size long")
+    return rows.select("number", "doc_id", "sources", "key", "rank", "text").mapInArrow(tidy(count), "number long, doc_id long, sources array<string>, key string, rank long, size long")
 
 
 def targets(own: DataFrame, ratio: float, weights: tuple[int, ...], repeat: int, total: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, U64, bucket_of, carried, loads, mix, restored, row_sums, slices, span_hashes, text_bytes, texts, token_runs
+from .common import M2, U64, bucket_of, carried, loads, mix, restored, row_sums, slices, span_hashes, text_bytes, texts, token_runs, tidy
 
 BITS, SCALE, PER_CLASS, EPOCHS = 18, 12.0, 2000, 4
 STUTTER = np.array([1, 2], U64) << U64(60)
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.
                 packed.append(np.r_[u.astype("<i4"), c.astype("<i4")].tobytes())
             yield pa.record_batch([b.column("rank"), b.column("y"), pa.array(packed, pa.binary())], names=["rank", "y", "features"])
 
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "rank", "y").mapInArrow(features, "rank double, y int, features binary").collect()
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "rank", "y").mapInArrow(tidy(features), "rank double, y int, features binary").collect()
     if len({r["y"] for r in rows}) < 2:
         return None
     data = []
@@ -134,7 +134,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False)).alias("held_out")
-    return texts(docs, held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts(docs, held).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -146,4 +146,4 @@ def good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Data
             yield b.filter(pa.array(score(pc.fill_null(b.column("raw"), "")) >= 0.5))
 
     columns, schema = carried(docs)
-    return restored(docs.select(*columns).mapInArrow(run, schema), docs)
+    return restored(docs.select(*columns).mapInArrow(tidy(run), schema), docs)

@@ -10,8 +10,8 @@ Two ways to deal: ``blocks`` is exact for a small radius (fingerprints within it
 blocks and agreeing picks follow the number of fingerprints).  ``bands`` is for near copies by shared shingles: a node is a
 distinct set of shingle hashes with the fingerprint of that set, dealt by its smallest permuted hashes, so that a pair of
 Jaccard similarity s meets but for (1 - s) ** BANDS of them.  The shard's BK-tree finds partners within ``radius``, sketches
-drop those that cannot be alike, and only sets with a partner left are made again from their texts: a pair links if the
-exact similarity of its sets is ``ALIKE`` or more.
+drop those that cannot be alike, and the groups of what is left are compared by their sets, which are made again from the
+texts of those alone: a pair links if the exact similarity of its sets is ``ALIKE`` or more.
 
 A shard beyond ``TILE`` fingerprints is cut into slices (TILES at most) that meet in pairs of their own.  A shard beyond
 ``CROWD`` sets (``ROOM`` hashes) is cut into slices that first link within themselves; then only the sets outside the shard's
@@ -29,7 +29,7 @@ representative, repeated doc_ids or not; an empty table gives an empty result; c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, join_heavy, loads, numbered, parts, rows_of, slices, span_hashes, text_bytes, texts, token_runs
+from .common import U64, among, cut, join_heavy, loads, numbered, parts, rows_of, slices, span_hashes, stored, text_bytes, texts, token_runs, tidy
 from .decontam import LOWER
 from .decontam import fold as words_fold
 
@@ -137,7 +137,7 @@ def fingerprints(rows: DataFrame, k: int = 3, bands: int = 0) -> DataFrame:
                 columns += [pa.array(fp, pa.int64()), lists, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.record_batch(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -149,7 +149,7 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
                 made = [x.tobytes() for x in sets_of(b.column("text").slice(i, 1000), k)]
                 yield pa.record_batch([b.column("number").slice(i, len(made)), pa.array(made, pa.binary())], names=["node", "set"])
 
-    return rows.mapInArrow(run, "node long, set binary")
+    return rows.mapInArrow(tidy(run), "node long, set binary")
 
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,20 +231,25 @@ def linked_groups(keys: np.ndarray, cuts: np.ndarray, radius: int) -> np.ndarray
     return label
 
 
-def partnered(keys: np.ndarray, cuts: np.ndarray, size: np.ndarray, sketches: np.ndarray, radius: int) -> np.ndarray:
-    """Whether each set has another one in its shard that may be alike by fingerprint, size and sketch."""
+def maybe_groups(keys: np.ndarray, cuts: np.ndarray, radius: int, size: np.ndarray, sketches: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each set of each shard the first place of its group, where sets link that may be alike by fingerprint, size and
+    sketch; ``group`` numbers groups that are linked already."""
     p, q = ALIKE
-    found = np.zeros(len(keys), bool)
+    shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((group, shard))
+    head = np.r_[True, (group[order][1:] != group[order][:-1]) | (shard[order][1:] != shard[order][:-1])]
+    label = np.empty(len(keys), np.int64)
+    label[order] = np.repeat(order[head], np.diff(np.r_[np.flatnonzero(head), len(order)]))
     for a, b in BKTrees(keys, cuts).walks(cuts, radius):
-        new = ~(found[a] & found[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
+        new = (label[a] != label[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
         a, b = a[new], b[new]
-        for i in range(0, len(a), 1 << 14):
-            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
-            new = ~(found[x] & found[y])
+        for i in range(0, len(a), 1 << 13):
+            x, y = a[i : i + (1 << 13)], b[i : i + (1 << 13)]
+            new = label[x] != label[y]
             x, y = x[new], y[new]
             both = agree(sketches[x], sketches[y])
-            found[x[both]] = found[y[both]] = True
-    return found
+            label = join(label, x[both], y[both])
+    return label
 
 
 def alike_groups(flat: np.ndarray, at: np.ndarray, fp: np.ndarray, radius: int, group: np.ndarray | None = None) -> np.ndarray:
@@ -345,19 +350,52 @@ def _links(keyed: DataFrame, radius: int, total: int | None = None) -> DataFrame
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     tiles = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
     dealt = dealt.withColumn("t", F.explode(tiles)).select("key", F.col("t.i").cast("long").alias("i"), F.col("t.j").cast("long").alias("j"), "fp", "node")
-    return _dealt(dealt, ["key", "i", "j"]).mapInArrow(run, "a long, b long")
+    return _dealt(dealt, ["key", "i", "j"]).mapInArrow(tidy(run), "a long, b long")
+
+
+def _in_slices(shards: DataFrame, held: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Stars (a, b) that ``run`` finds among the nodes of each shard: ``shards``, a stored table, has key, node and s, the
+    number of slices that the shard is cut into, and ``held`` what ``run`` needs of each node.
+
+    Slices first link within themselves.  Of shards of several slices, only the nodes outside the shard's largest linked
+    group, in blocks of ``CROWD``, then meet all slices; ``run`` compares no two nodes of one label.
+    """
+    own, key = F.pmod(F.xxhash64("node", "key"), F.col("s")), ["key", "i", "j"]
+    first = shards.select("key", own.alias("i"), F.lit(0).cast("long").alias("j"), "node", F.col("node").alias("label")).join(held, "node")
+    links = _dealt(first, key).mapInArrow(tidy(run), "a long, b long")
+    wide = shards.where("s > 1")
+    if wide.isEmpty():
+        return links
+    links = cut(links)
+    wide = cut(wide.join(components(links), "node", "left").select("key", "node", "s", F.coalesce("label", "node").alias("label")))
+    largest = wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
+    wide = join_heavy(wide, largest, ["key"], "n", wide.count())
+    blocks = F.ceil((F.col("n") - F.col("top.m")) / CROWD).cast("long")
+    outside = F.col("label") != F.col("top.label")
+    tile = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest(blocks, F.lit(1)))
+    mine = F.transform(F.sequence(F.lit(1).cast("long"), blocks), lambda j: tile(own, j))
+    asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda i: tile(i, block + 1))
+    tiles = F.when(blocks < 1, F.array().cast("array<struct<i:bigint,j:bigint>>")).when(outside, F.array_distinct(F.concat(mine, asked))).otherwise(mine)
+    second = wide.withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "node", "label").join(held, "node")
+    return links.unionByName(_dealt(second, key).mapInArrow(tidy(run), "a long, b long"))
 
 
 def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total: int) -> DataFrame:
-    """Stars (a, b), a > b, of the groups of sets that share a band and are alike; ``nodes`` has one row a set."""
+    """Stars (a, b), a > b, of the groups of sets that share a band and are alike; ``nodes`` has one row a set.
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cuts in _whole(batches, ["key"], 1 << 13):
+    Shards by band first find what may be alike, from fingerprints and sketches; the linked groups of that are the shards
+    of the exact comparison, so each set travels once.
+    """
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _whole(batches, ["key", "i", "j"], 1 << 13):
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            found = partnered(t.column("fp").to_numpy().view(U64), cuts, t.column("size").to_numpy(), sketches, radius)
-            yield from t.select(["key", "node", "s"]).filter(pa.array(found)).combine_chunks().to_batches()
+            node, fp, size, label = (t.column(c).to_numpy() for c in ("node", "fp", "size", "label"))
+            a, b = _stars(node, maybe_groups(fp.view(U64), cuts, radius, size, sketches, label))
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _whole(batches, ["key", "i", "j"], 1 << 12):
             node, fp, label = (t.column(c).to_numpy() for c in ("node", "fp", "label"))
             sets = t.column("set")
@@ -368,35 +406,17 @@ def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total:
                 if len(a):
                     yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    keyed = nodes.select("node", "fp", "size", "sketch", F.posexplode("bands").alias("p", "v")).select(F.xxhash64("p", "v").alias("key"), "node", "fp", "size", "sketch")
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).where(F.col("n") > 1)
-    slices = F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM), F.lit(1)).cast("long")
-    shards = join_heavy(keyed, crowds, ["key"], "n", total).withColumn("s", slices)
-    small = _dealt(shards.where("s = 1").select("key", "node", "fp", "size", "sketch", "s"), ["key"]).mapInArrow(met, "key long, node long, s long")
-    dealt = cut(small.unionByName(shards.where("s > 1").select("key", "node", "s")))
-    alone = dealt.select("node").distinct()
-    texts_of = rows.join(alone.withColumnRenamed("node", "number"), "number", "left_semi")
-    sets = cut(shingle_sets(texts_of, k).join(nodes.select("node", "fp"), "node"))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("s"))
-    first = dealt.select("key", own.alias("i"), F.lit(0).cast("long").alias("j"), "node", F.col("node").alias("label")).join(sets, "node")
-    links = _dealt(first, ["key", "i", "j"]).mapInArrow(stars, "a long, b long")
-    wide = dealt.where("s > 1")
-    if wide.isEmpty():
-        return links
-    links = cut(links)
-    groups = components(links)
-    wide = cut(wide.join(groups, "node", "left").select("key", "node", "s", F.coalesce("label", "node").alias("label")))
-    largest = wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
-    wide = join_heavy(wide, largest, ["key"], "n", wide.count())
-    blocks = F.ceil((F.col("n") - F.col("top.m")) / CROWD).cast("long")
-    outside = F.col("label") != F.col("top.label")
-    tile = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
-    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest(blocks, F.lit(1)))
-    mine = F.transform(F.sequence(F.lit(1).cast("long"), blocks), lambda j: tile(own, j))
-    asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda i: tile(i, block + 1))
-    tiles = F.when(blocks < 1, F.array().cast("array<struct<i:bigint,j:bigint>>")).when(outside, F.array_distinct(F.concat(mine, asked))).otherwise(mine)
-    second = wide.withColumn("t", F.explode(tiles)).select("key", "t.i", "t.j", "node", "label").join(sets, "node")
-    return links.unionByName(_dealt(second, ["key", "i", "j"]).mapInArrow(stars, "a long, b long"))
+    keyed = nodes.select("node", F.posexplode("bands").alias("p", "v")).select(F.xxhash64("p", "v").alias("key"), "node")
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shards = cut(join_heavy(keyed, crowds, ["key"], "n", total).select("key", "node", F.ceil(F.col("n") / CROWD).cast("long").alias("s")))
+    groups = components(_in_slices(shards, nodes.select("node", "fp", "size", "sketch"), maybe))
+    groups = cut(groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
+    alone = cut(groups.select(F.col("node").alias("number")))
+    sets = stored(shingle_sets(among(rows, alone, "left_semi"), k).join(nodes.select("node", "fp"), "node"))
+    crowds = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
+    slices_of = F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM)).cast("long")
+    shards = cut(join_heavy(groups, crowds, ["label"], "n", groups.count()).select(F.col("label").alias("key"), "node", slices_of.alias("s")))
+    return _in_slices(shards, sets, exact)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -418,10 +438,10 @@ def components(links: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, k: int, radius: int, bands: int) -> DataFrame:
     """number, doc_id, fp and the representative (nameless, doc_id, number) of every row's group."""
     by = "digest" if bands else "fp"
-    members = cut(fingerprints(rows, k, bands))
+    members = (stored if bands else cut)(fingerprints(rows, k, bands))
     more = [F.first(c).alias(c) for c in ("fp", "bands", "size", "sketch")] if bands else []
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "number")).alias("best")
-    nodes = cut(members.groupBy(by).agg(F.min("number").alias("node"), best, F.count(F.lit(1)).alias("n"), *more))
+    nodes = (stored if bands else cut)(members.groupBy(by).agg(F.min("number").alias("node"), best, F.count(F.lit(1)).alias("n"), *more))
     whole = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     if bands:
         links = _alike_links(rows, k, radius, nodes, whole["nodes"] * bands)
@@ -446,5 +466,5 @@ def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) ->
 def representatives(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
     """The rows of ``docs``, whole, that stand for their groups: of the smallest doc_id, one of each group."""
     rows = numbered(docs)
-    kept = _classes(rows_of(rows), k, radius, bands).where(F.col("number") == F.col("top.number")).select("number")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    copies = cut(_classes(rows_of(rows), k, radius, bands).where(F.col("number") != F.col("top.number")).select("number"))
+    return among(rows, copies, "left_anti").select("row.*")

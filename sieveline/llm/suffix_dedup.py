@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from .chunks import PACKED, chunked, groups, in_order, packed
-from .common import M1, M2, U64, loads, mix
+from .common import M1, M2, U64, loads, mix, trim
 
 SPAN, GRAM, HOT = 50, 20, 6000
-PIECE, SORTED = 1 << 18, 1 << 20
+PIECE, SORTED = 1 << 18, 1 << 18
 LOW = U64((1 << 44) - 1)
 
 
@@ -139,6 +139,7 @@ def tag_of(bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _send_minima(n: int):  # noqa: ANN202
     def send(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        trim()
         _, doc, raw = in_order(t)
         buf, at = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
         h, _, _, row = run_minima(buf, at)
@@ -196,6 +197,7 @@ def _decode(p: bytes) -> tuple[np.ndarray, ...]:
 
 def _send_contexts(n: int):  # noqa: ANN202
     def send(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         _, doc, raw = in_order(t)
         text = b"".join(raw)
         buf, at = np.frombuffer(text, np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
@@ -235,6 +237,7 @@ def _send_contexts(n: int):  # noqa: ANN202
 
 
 def _match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    trim()
     chunks = t.column("chunk").to_numpy()
     group, size, times, doc, row, place, text = (list(x) for x in zip(*map(_decode, t.column("payload").to_pylist()), strict=True))
     chunk = np.repeat(chunks, [len(x) for x in doc])
@@ -296,6 +299,7 @@ def _match(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 
 
 def _remove(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
+    trim()
     ids, _, raw = in_order(t)
     size = np.array([len(x) for x in raw], np.int64)
     at = np.r_[0, np.cumsum(size)]
