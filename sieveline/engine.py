@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .functions.text import TEST_WORDS, chunk_id, lex_terms
-from .operators import chunking, index, lexical, packing, post, privacy, structural
+from .functions.text import TEST_WORDS, ascii_words, basename_terms, chunk_id, lex_terms
+from .operators import chunking, claims, index, lexical, packing, post, privacy, report, structural
 from .sources import corpus
 from .sources.store import cut
 
-MOST_TOKENS = 30_000
+MOST_TOKENS, SCHEMA_VERSION = 30_000, "1"
 
 
 class Engine:
@@ -20,6 +21,7 @@ class Engine:
     def __init__(self, spark: SparkSession, repository: str = "corpus") -> None:
         self.spark, self.repository = spark, repository
         self.chunks: DataFrame | None = None
+        self._hashes: DataFrame | None = None
 
     def index(self, files: DataFrame, target: int = 400, overlap: int = 40, strategy: str = "window") -> DataFrame:
         """Chunks with their enclosing symbol and the symbols of their file."""
@@ -30,62 +32,190 @@ class Engine:
         names = index.rollup_names(found, "path", "name").withColumnRenamed("names", "file_symbols")
         out = pieces.join(inside, ["path", "start_line"], "left").join(names, "path", "left")
         rows = out.select(
-            F.xxhash64("path", "start_line").alias("key"), chunk_id(F.lit(self.repository), F.col("path"), F.col("start_line")).alias("chunk_id"),
+            F.concat_ws(":", "path", "start_line").alias("key"), chunk_id(F.lit(self.repository), F.col("path"), F.col("start_line")).alias("chunk_id"),
             "path", "start_line", "end_line", "tokens", "symbol", F.coalesce("file_symbols", F.array().cast("array<string>")).alias("file_symbols"), "content", F.sha2("content", 256).alias("content_hash"),
         )
         self.chunks = cut(rows)
+        self._hashes = cut(files.select("path", F.sha2("content", 256).alias("content_hash")))
         return self.chunks
 
     def index_folder(self, root: str, never_read: list[str] | None = None, **how: object) -> DataFrame:
         files = corpus.scan(self.spark, root, never_read).where(F.col("reason").isNull())
         return self.index(files.select(F.col("rel_path").alias("path"), "language", "content"), **how)
 
-    def score(self, requests: DataFrame, fusion: str = "max") -> DataFrame:
-        """request_id, key, score: BM25 of each pass of a request, its symbol score, weighted and fused."""
+    def score(self, requests: DataFrame, fusion: str = "max", explicit: list[str] | None = None) -> DataFrame:
+        """request_id, key, score: the weighted signals of each pass of a request, fused and over the best of the request.
+
+        A pass scores the chunks that share a term with its text, whose names or paths do, and those at explicit paths."""
         chunks = self._indexed()
-        passes = lexical.expand(requests, "request_id", "task")
         by = ["request_id", "pass_id"]
-        lex = lexical.normalised(lexical.bm25(chunks, "key", "content", lexical.query_terms(passes, by, "text"), by), by)
-        sym = self._symbol_scores(chunks, requests)
-        both = lex.withColumnRenamed("score", "lexical").join(sym, ["request_id", "key"], "left").join(chunks.select("key", "path", "symbol"), "key")
-        score = structural.weighted(lexical=F.col("lexical"), symbol=F.coalesce("symbol_score", F.lit(0.0)), test=structural.test_pair_score(F.col("path"), F.col("symbol")))
-        return lexical.normalised(lexical.fuse(both.withColumn("score", score), ["request_id"], "key", fusion), ["request_id"]).join(sym.select("request_id", "key", "claim"), ["request_id", "key"], "left")
-
-    def _symbol_scores(self, chunks: DataFrame, requests: DataFrame) -> DataFrame:
-        """Pairs that share a usable term, and whether one is rare enough to be a claim."""
-        named = chunks.select("key", "path", F.explode(F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.col("file_symbols"))).alias("name"))
-        own = named.select("key", "path", "name", F.explode(F.array_distinct(lex_terms(F.col("name")))).alias("term"))
-        asked = requests.select("request_id", F.explode(F.array_distinct(lex_terms(F.col("task")))).alias("term"))
-        n_task = asked.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_task"))
-        n_own = own.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n_own"))
-        freq = own.select("path", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_files"))
-        total = own.agg(F.count_distinct("path").alias("n"))
-        hit = own.join(asked, "term").join(freq, "term").crossJoin(F.broadcast(total))  # total is one row
-        fit = F.size(structural.usable(F.array("term"))) == 1
-        rare = fit & structural.specific(F.col("n_files"), F.col("n"))
-        m = hit.groupBy("request_id", "key", "name").agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(fit, 1)).alias("matched"), F.count(F.when(rare, 1)).alias("rare")).where("matched > 0")
-        scored = m.join(n_own, ["key", "name"]).join(n_task, "request_id").withColumn("s", F.col("matched") / (F.col("n_own") + F.col("n_task") - F.col("shared")))
-        return scored.groupBy("request_id", "key").agg(F.max("s").alias("symbol_score"), F.bool_or(F.col("rare") > 0).alias("claim"))
-
-    def select(self, requests: DataFrame, token_budget: int = 12_000, explicit: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-        """Packed evidence in order: request_id, position, pass, path, lines, symbol, score, category, strategy, content."""
+        passes = cut(lexical.expand(requests, "request_id", "task"))
+        asked = cut(lexical.query_terms(passes, by, "text"))
+        terms = asked.select(*by, "term")
+        names, paths = self._names(), self._path_terms()
+        none = F.lit(0.0)
+        lex = lexical.normalised(lexical.bm25(chunks, "key", "content", asked, by), by)
+        sym, inner = claims.matched(names, terms, by), claims.inside(names, terms, by)
+        own = paths.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        path = claims.matched(paths, terms, by).where("specific").join(own, "key").withColumn("share", F.size("terms") / F.col("n"))
+        pins = self._pinned(explicit or [], boundary=True).join(passes.select(*by, F.explode(F.array(*[F.lit(p) for p in explicit])).alias("pin")), "pin") if explicit else None
+        signals = [
+            lex.select(*by, "key", F.col("score").alias("lexical"), none.alias("symbol"), none.alias("path")),
+            sym.select(*by, "key", none.alias("lexical"), F.col("score").alias("symbol"), none.alias("path")),
+            inner.join(sym.select(*by, "key"), [*by, "key"], "left_anti").select(*by, "key", none.alias("lexical"), F.lit(0.6).alias("symbol"), none.alias("path")),
+            path.select(*by, "key", none.alias("lexical"), none.alias("symbol"), F.col("share").alias("path")),
+        ]
+        if pins is not None:
+            signals.append(pins.select(*by, "key", none.alias("lexical"), none.alias("symbol"), "path"))
+        every = reduce(DataFrame.unionByName, signals).groupBy(*by, "key").agg(*[F.max(c).alias(c) for c in ("lexical", "symbol", "path")])
+        every = every.join(chunks.select("key", F.col("path").alias("file"), F.col("symbol").alias("named")), "key")
+        score = structural.weighted(lexical=F.col("lexical"), symbol=F.col("symbol"), path=F.col("path"), test=structural.test_pair_score(F.col("file"), F.col("named")))
+        return lexical.normalised(lexical.fuse(every.withColumn("score", score), ["request_id"], "key", fusion), ["request_id"])
+
+    def _names(self) -> DataFrame:
+        """key, path, name, term: the terms of a chunk's symbol, or else of each symbol of its file."""
+        names = F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.col("file_symbols"))
+        return self._indexed().select("key", "path", F.explode(names).alias("name")).select("key", "path", "name", F.explode(F.array_distinct(lex_terms(F.col("name")))).alias("term"))
+
+    def _path_terms(self) -> DataFrame:
+        """key, path, name, term: the terms of a chunk's file name."""
+        return self._indexed().select("key", "path", F.col("path").alias("name"), F.explode(basename_terms(F.col("path"))).alias("term"))
+
+    def _pinned(self, explicit: list[str], boundary: bool = False) -> DataFrame:
+        """key, pin, path (its score) of the chunks that an explicit path names; with ``boundary`` also by a folder of that name."""
+        held = F.array(*[F.lit(p) for p in explicit])
+        path = F.col("path")
+        near = lambda p: path.endswith(p) | (F.array_contains(F.split(path, "/"), p) if boundary else F.lit(False))
+        found = self._indexed().select("key", "path", F.explode(F.filter(held, near)).alias("pin"))
+        return found.select("key", "pin", F.when(path == F.col("pin"), 1.0).otherwise(0.8).alias("path"))
+
+    def claims(self, requests: DataFrame, explicit: list[str] | None = None, authority: list[str] | None = None, stated: DataFrame | None = None) -> DataFrame:
+        """request_id, key, reasons, symbol_terms, path_terms of every chunk that a request claims, before any cap.
+
+        ``stated`` (request_id, term) adds terms of a stated need to those of the task."""
+        chunks = self._indexed()
+        terms = lexical.query_terms(requests, ["request_id"], "task").select("request_id", "term")
+        if stated is not None:
+            terms = terms.unionByName(stated.select("request_id", "term")).distinct()
+        terms, ids, none = cut(terms), requests.select("request_id"), F.array().cast("array<string>")
+        sym = claims.matched(self._names(), terms, ["request_id"])
+        path = claims.matched(self._path_terms(), terms, ["request_id"])
+        rows = [
+            sym.select("request_id", "key", F.when(F.col("specific"), "named_symbol").otherwise("named_symbol_low_specificity").alias("reason"), F.col("terms").alias("symbol_terms"), none.alias("path_terms")),
+            path.select("request_id", "key", F.when(F.col("specific"), "named_path").otherwise("named_path_low_specificity").alias("reason"), none.alias("symbol_terms"), F.col("terms").alias("path_terms")),
+        ]
+        plain = lambda df, reason: df.select("request_id", "key", F.lit(reason).alias("reason"), none.alias("symbol_terms"), none.alias("path_terms"))
+        if explicit:
+            rows.append(plain(self._pinned(explicit).join(ids.select("request_id", F.explode(F.array(*[F.lit(p) for p in explicit])).alias("pin")), "pin"), "explicit_path"))
+        if authority:
+            fired = chunks.where(claims.authority(F.col("path"), authority)).select("key", F.lit(0).alias("on"))
+            rows.append(plain(fired.join(ids.withColumn("on", F.lit(0)), "on"), "authority"))
+        found = cut(reduce(DataFrame.unionByName, rows))
+        low = F.col("reason").endswith("_low_specificity")
+        sources = found.where(~low).select("request_id", "key").distinct().join(chunks.select("key", "path"), "key").where(~structural.is_test(F.col("path")))
+        found = found.unionByName(plain(claims.test_pairs(sources, chunks.select("key", "path"), "request_id"), "test_pair"))
+        lists = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("symbol_terms", "path_terms")]
+        return found.groupBy("request_id", "key").agg(F.array_sort(F.collect_set("reason")).alias("reasons"), *lists)  # a chunk's reasons
+
+    def wants_tests(self, requests: DataFrame) -> DataFrame:
+        """request_id, wants_tests: whether a task has a word for tests or names the stem of a test file."""
+        words = requests.select("request_id", F.explode(ascii_words(F.col("task"))).alias("word"))
+        stems = self._indexed().where(structural.is_test(F.col("path"))).select(F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")).alias("word")).distinct()
+        known = stems.unionByName(self.spark.createDataFrame([(w,) for w in TEST_WORDS], "word string")).distinct()
+        asks = words.join(known, "word", "left_semi").select("request_id", F.lit(True).alias("asks")).distinct()
+        return requests.select("request_id").distinct().join(asks, "request_id", "left").select("request_id", F.coalesce("asks", F.lit(False)).alias("wants_tests"))
+
+    def candidates(self, requests: DataFrame, explicit: list[str] | None = None, authority: list[str] | None = None, required: list[str] | None = None, stated: DataFrame | None = None) -> DataFrame:
+        """The rows that ``packing.pack`` packs: all scored and claimed chunks that some pass can admit."""
         chunks = self._indexed()
-        scored = cut(self.score(requests)).join(chunks.select("key", "path", "start_line", "tokens", "symbol", "content"), "key")
-        pin = F.lit(False)
-        for p in explicit or []:
-            pin = pin | F.col("path").endswith(p)
-        tests = F.arrays_overlap(lex_terms(F.col("task")), F.array(*[F.lit(w) for w in TEST_WORDS]))
-        wants = requests.select("request_id", tests.alias("wants_tests"))
-        w = Window.partitionBy("request_id").orderBy(F.desc("pinned"), F.desc("claimed"), F.desc("score"), "path", "start_line")
-        rows = scored.join(wants, "request_id").withColumns({"pinned": pin, "claimed": F.coalesce("claim", F.lit(False)) & (~structural.is_test(F.col("path")) | F.col("wants_tests"))})
-        short = rows.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= packing.SHORTLIST) | F.col("pinned"))
-        packed = packing.pack(short.select("request_id", "key", "rank", "tokens", "path", "score", F.array_distinct(lex_terms(F.col("content"))).alias("terms"), "pinned", F.col("claimed").alias("claim")), "request_id", min(token_budget, MOST_TOKENS))
-        out = packed.join(chunks, "key").join(scored.select("request_id", "key", "score"), ["request_id", "key"]).where(post.excluded_by(F.col("path"), exclude or []).isNull())
+        found = cut(self.claims(requests, explicit, authority, stated))
+        scored = cut(self.score(requests, explicit=explicit).select("request_id", "key", "score"))
+        rows = scored.join(found, ["request_id", "key"], "full_outer").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        rows = rows.join(chunks.select("key", "path", "tokens", "symbol", "file_symbols"), "key")
+        has = lambda r: F.coalesce(F.array_contains("reasons", r), F.lit(False))
+        strong, named = has("named_symbol") | has("test_pair"), has("named_path")
+        rows = rows.withColumns({"pinned": has("explicit_path") | has("authority"), "strong": strong, "named_path": named, "mandatory": strong | named})
+        capped = packing.per_file_cap(rows.where("mandatory AND NOT pinned").select("request_id", "key", "path", "score"), "request_id", "path", "key").where("demoted").select("request_id", "key", "demoted")
+        rows = rows.join(capped, ["request_id", "key"], "left").withColumn("claim", F.col("mandatory") & ~F.col("pinned") & F.col("demoted").isNull())
+        terms = lexical.query_terms(requests, ["request_id"], "task").select("request_id", "term")
+        terms = cut(terms if stated is None else terms.unionByName(stated.select("request_id", "term")).distinct())
+        post_ = lexical.postings(chunks, "key", "content").join(F.broadcast(terms.select("term").distinct()) if terms.count() <= lexical.ASKED else terms.select("term").distinct(), "term", "left_semi")
+        n = chunks.agg(F.count(F.lit(1)).cast("double").alias("n"))
+        weights = lexical.document_frequency(post_).crossJoin(F.broadcast(n)).select("term", lexical.idf(F.col("df"), F.col("n")).alias("idf"))  # n is one row
+        hit = rows.where("claim").select("request_id", "key", F.explode(F.array_union("symbol_terms", "path_terms")).alias("term"))
+        relevance = report.claim_relevance(hit, weights, "request_id", "key")
+        path_words = rows.where("claim").select("request_id", "key", F.explode(F.array_distinct(lex_terms(F.col("path")))).alias("term"))
+        on = path_words.join(terms, ["request_id", "term"], "left_semi").select("request_id", "key", F.lit(True).alias("on_path")).distinct()
+        rows = rows.join(relevance, ["request_id", "key"], "left").join(on, ["request_id", "key"], "left").join(self.wants_tests(requests), "request_id")
+        on_path = F.coalesce("on_path", F.lit(False))
+        rows = rows.withColumns({
+            "relevance": F.coalesce("relevance", F.lit(0.0)), "on_path": on_path, "overlap": report.overlap_class(F.col("strong"), on_path, has("test_pair"), F.col("named_path")),
+            "is_test": structural.is_test(F.col("path")), "category": structural.category(F.col("path"), F.col("symbol"), F.col("file_symbols")), "required": F.col("path").isin(required or []),
+        })
+        sets = lexical.term_ids(chunks, "key", "content")
+        return packing.shortlist(rows.drop("symbol", "file_symbols", "mandatory", "demoted"), "request_id").join(sets, "key")
+
+    def select(self, requests: DataFrame, token_budget: int = 12_000, explicit: list[str] | None = None, exclude: list[str] | None = None, authority: list[str] | None = None, required: list[str] | None = None, stated: DataFrame | None = None) -> DataFrame:
+        """Packed evidence in order: request_id, position, pass, path, lines, symbol, score, reasons, category, strategy, content."""
+        chunks = self._indexed()
+        rows = cut(self.candidates(requests, explicit, authority, required, stated))
+        packed = packing.pack(rows, "request_id", min(token_budget, MOST_TOKENS))
+        out = packed.join(rows.select("request_id", "key", "score", "reasons", "category"), ["request_id", "key"]).join(chunks, "key").where(post.excluded_by(F.col("path"), exclude or []).isNull())
         kind = post.content_type(F.col("path"), F.col("content"))
-        symbol = F.col("symbol")
-        out = out.select("request_id", "position", "pass", "key", "path", "start_line", "end_line", "symbol", F.round("score", 4).alias("score"), structural.category(F.col("path"), symbol, F.col("file_symbols")).alias("category"), post.strategy(kind, F.col("pass") == "pin").alias("strategy"), "tokens", "content_hash", "content")
-        clean = privacy.redact(out.select("key", "content").distinct(), "key", "content").select("key", privacy.fail_closed(F.col("redacted")).alias("content"))
-        return cut(out.drop("content").join(clean, "key"))
+        why = F.array_distinct(F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.array(F.col("pass"))))
+        out = out.select("request_id", "position", "pass", "key", "path", "start_line", "end_line", "symbol", F.round("score", 4).alias("score"), why.alias("reasons"), "category", post.strategy(kind, F.col("pass") == "pin").alias("strategy"), "tokens", "content_hash", "content")
+        out = cut(out)
+        clean = privacy.redact_requests(out, "request_id", "key", "position", "content")
+        out = out.drop("content").join(clean.withColumnRenamed("redacted", "content"), ["request_id", "key"])
+        return cut(privacy.cleared(out, "request_id", "content"))
+
+    def stated_summary(self, evidence: DataFrame, stated: DataFrame) -> DataFrame:
+        """request_id, origin, chunks: claims in the pack that cite terms of each stated origin (request_id, term, origin)."""
+        cited = evidence.where(F.col("pass") == "claim").select("request_id", "key", "path", "symbol")
+        words = cited.select("request_id", "key", F.explode(F.array_distinct(F.concat(basename_terms(F.col("path")), lex_terms(F.col("symbol"))))).alias("term"))
+        return claims.stated_summary(words, stated, "request_id", "key")
+
+    def full_context(self) -> DataFrame:
+        """Everything in order of path and line, with the tokens up to each chunk: the baseline without selection."""
+        return index.in_order(self._indexed().select("key", "path", "start_line", "tokens"), ["path", "start_line"], "tokens")
+
+    def refresh(self, files: DataFrame, pins: list[str] | None = None, **how: object) -> dict[str, int]:
+        """Brings the index up to ``files`` (all of them, or those at ``pins``) and counts what was new, changed, stale and
+        unchanged; only new and changed files are cut again."""
+        now = files.withColumn("content_hash", F.sha2("content", 256))
+        old = self.hashes()
+        if pins:
+            now, old = now.where(claims.pinned(F.col("path"), pins)), old.where(claims.pinned(F.col("path"), pins))
+        seen = cut(index.incremental_diff(now, old))
+        counts = {"new": 0, "changed": 0, "stale": 0, "unchanged": 0} | {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        todo = seen.where(F.col("status").isin("new", "changed")).select("path")
+        if counts["new"] + counts["changed"] + counts["stale"]:
+            kept, hashes = self.chunks, self._hashes
+            gone = seen.where(F.col("status") != "unchanged")
+            self.index(files.join(todo, "path", "left_semi"), **how)
+            if kept is not None:
+                self.chunks = cut(index.forget(kept, gone).unionByName(self.chunks))
+                self._hashes = cut(index.forget(hashes, gone).unionByName(self._hashes))
+        return counts
+
+    def hashes(self) -> DataFrame:
+        """path and content_hash of every indexed file."""
+        return self.spark.createDataFrame([], "path string, content_hash string") if self._hashes is None else self._hashes
+
+    def save(self, folder: str) -> None:
+        """Writes chunks, hashes and the index's own settings as Parquet."""
+        for name, df in (("chunks", self._indexed()), ("hashes", self.hashes()), ("meta", index.meta(self.spark, {"repository": self.repository, "schema_version": SCHEMA_VERSION}))):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def load(self, folder: str) -> DataFrame:
+        """Reads what ``save`` wrote; an index of another schema version raises ValueError."""
+        meta = {r["key"]: r["value"] for r in self.spark.read.parquet(f"{folder}/meta").collect()}
+        if meta.get("schema_version") != SCHEMA_VERSION:
+            raise ValueError(f"index of schema version {meta.get('schema_version')}, not {SCHEMA_VERSION}")
+        self.repository = meta["repository"]
+        self._hashes = self.spark.read.parquet(f"{folder}/hashes")
+        self.chunks = self.spark.read.parquet(f"{folder}/chunks")
+        return self.chunks
 
     def markdown(self, evidence: DataFrame) -> DataFrame:
         return post.markdown(evidence.withColumn("section", F.when(F.col("pass") == "pin", "explicit").otherwise(F.col("category"))), "request_id")

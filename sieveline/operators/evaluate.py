@@ -6,11 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .report import at_rank, upper_median_rank
+
 
 def label_match(path: Column, start: Column, end: Column, symbol: Column, label: Column) -> Column:
-    """Whether a chunk meets a label: same path, line ranges that meet, and the symbol where the chunk has one."""
-    ranged = label["lines"].isNull() | ((start <= F.get(label["lines"], 1)) & (end >= F.get(label["lines"], 0)))
-    return (path == label["path"]) & ranged & (label["symbol"].isNull() | symbol.isNull() | (symbol == label["symbol"]))
+    """Whether a chunk meets a label: same path, the label's lines inside the chunk's, and the symbol where the chunk has one."""
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    inside = F.coalesce(F.size(label["lines"]), F.lit(0)) < 2
+    inside = inside | ((start <= F.get(label["lines"], 0)) & (end >= F.get(label["lines"], 1)))
+    return F.coalesce(path == label["path"], F.lit(False)) & inside & (none(label["symbol"]) | none(symbol) | (symbol == label["symbol"]))
+
+
+def relevance_labels(chunks: DataFrame, labels: DataFrame, request: str) -> DataFrame:
+    """request, key, relevant of every chunk that a label meets: an irrelevant label overrides required and helpful ones.
+
+    ``chunks`` has key, path, start_line, end_line and symbol; ``labels`` request, kind, path, symbol and lines."""
+    own = labels.select(request, "kind", F.struct("path", "symbol", "lines").alias("label"), F.col("path").alias("_path"))
+    met = chunks.join(own, chunks["path"] == F.col("_path")).where(label_match(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), F.col("label")))
+    return met.groupBy(request, "key").agg(F.min(F.when(F.col("kind") == "irrelevant", 0).otherwise(1)).alias("relevant"))
 
 
 def ranking(ranked: DataFrame, relevant: DataFrame, request: str, key: str, k: int = 10) -> DataFrame:
@@ -31,9 +44,13 @@ def required_recall(required: DataFrame, packed: DataFrame, request: str, key: s
     return required.join(hit, [request, key], "left").groupBy(request).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
 
 
-def upper_median(column: str) -> Column:
-    """The value at n // 2 of the sorted values, without gathering them."""
-    return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY {column})")
+def batch_totals(runs: DataFrame) -> DataFrame:
+    """One row of sums over a batch, and the upper median of the reductions; ``runs`` has candidate_tokens and selected_tokens."""
+    share = F.when(F.col("candidate_tokens") > 0, 100.0 * (F.col("candidate_tokens") - F.col("selected_tokens")) / F.col("candidate_tokens")).otherwise(0.0)
+    rows = runs.select(F.lit(0).alias("all"), "candidate_tokens", "selected_tokens", share.alias("reduction_pct"))
+    sums = rows.groupBy("all").agg(F.count(F.lit(1)).alias("tasks"), F.sum("candidate_tokens").alias("candidate_tokens"), F.sum("selected_tokens").alias("selected_tokens"))
+    middle = at_rank(rows, "all", "reduction_pct", {"median_reduction_pct": upper_median_rank()})
+    return sums.join(middle, "all", "left").drop("all")
 
 
 def is_dev(key: Column) -> Column:
@@ -55,8 +72,8 @@ def ledger_daily(rows: DataFrame) -> DataFrame:
 
 
 def arm_deltas(arms: DataFrame, arm: str, value: str, reference: str) -> DataFrame:
-    """Each arm's difference to the reference arm, which is one row."""
-    base = arms.where(F.col(arm) == reference).select(F.col(value).alias("_base"))
+    """Each arm's difference to the reference arm, whose rows are summed."""
+    base = arms.where(F.col(arm) == reference).agg(F.sum(value).alias("_base"))  # one row
     return arms.crossJoin(F.broadcast(base)).select(arm, value, (F.col(value) - F.col("_base")).alias("delta"), (100.0 * (F.col(value) - F.col("_base")) / F.col("_base")).alias("delta_pct"))
 
 

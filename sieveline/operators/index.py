@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import cut
+
 
 def incremental_diff(scan: DataFrame, stored: DataFrame, key: str = "path", content: str = "content_hash") -> DataFrame:
     """key and status of every path: new, changed, unchanged or stale."""
@@ -53,3 +55,37 @@ def refresh_pinned(stored: DataFrame, current: DataFrame, pins: Column, key: str
 
 def forget(stored: DataFrame, paths: DataFrame, key: str = "path") -> DataFrame:
     return stored.join(paths.select(key).distinct(), key, "left_anti")
+
+
+def in_order(rows: DataFrame, order: list[str], tokens: str) -> DataFrame:
+    """``rows`` with position (from 1) and upto (tokens up to and with each): sorted across partitions, whose totals alone
+    are summed in order."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = cut(rows.repartitionByRange(parts, *order).withColumn("_at", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(F.col("_at").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(tokens).alias("_t"))
+    held = held.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_tb"))
+    own = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.join(F.broadcast(held), F.col("_at") == F.col("_p"))  # a row a partition
+    both = both.withColumns({"position": (F.col("_nb") + F.count(F.lit(1)).over(own)).cast("long"), "upto": (F.col("_tb") + F.sum(tokens).over(own)).cast("long")})
+    return both.drop("_at", "_p", "_nb", "_tb")
+
+
+def within(path: Column, root: str) -> Column:
+    """Whether a normalised path is a folder's or inside it; no path with a .. component is."""
+    root = root.rstrip("/")
+    safe = ~F.array_contains(F.split(path, "/"), "..")
+    return F.coalesce(safe & ((path == root) | path.startswith(root + "/")), F.lit(False))
+
+
+def in_scope(path: Column, scope: list[str]) -> Column:
+    """Whether a path starts with any prefix of the scope; an empty scope holds everything."""
+    out = F.lit(not scope)
+    for prefix in scope:
+        out = out | path.startswith(prefix)
+    return out
+
+
+def meta(spark: SparkSession, values: dict[str, str]) -> DataFrame:
+    """key, value: an index's own settings."""
+    return spark.createDataFrame(sorted(values.items()), "key string, value string")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,30 @@ def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, terms array<string>")
 
 
+def term_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, terms: the distinct terms of every row as 64-bit numbers, for comparing sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sets = []
+                for x in part.column(1).to_pylist():
+                    own: set[int] = set()
+                    for w in set(WORDS_OF.findall(x or "")):
+                        if w not in known:
+                            if len(known) >= KNOWN:
+                                known.clear()
+                            known[w] = [int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in fold_word(w)]
+                        own.update(known[w])
+                    sets.append(sorted(own))
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=[key, "terms"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, terms array<long>")
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

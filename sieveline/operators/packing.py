@@ -1,20 +1,25 @@
-"""Budgeted packing: greedy folds over one request's ranked shortlist, which misfits do not stop.
+"""Budgeted packing: greedy folds over one request's ranked candidates, which misfits do not stop.
 
-The folds are ``aggregate`` expressions over an array of at most ``SHORTLIST`` candidates a request, so parallelism is
-across requests; the depth pass, whose state is the set of terms chosen so far, runs as a grouped map.
+Single folds are ``aggregate`` expressions over a request's candidates, a few numbers each, so parallelism is across
+requests.  The pack of all passes, whose state is the set of terms chosen so far, is a grouped map over the candidates that
+``shortlist`` keeps: of all scored chunks exactly those that some pass can admit.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-SHORTLIST, PER_FILE, CLAIMS, PATHS, DEPTH = 50, 2, 24, 60, 60
+PER_FILE, CLAIMS, PATHS, DEPTH = 2, 24, 60, 60
 CORE_HELD, DEPTH_SHARE, OVERLAP = 0.05, 0.25, 0.25
+#: Sections in the order of a pack.
+CATEGORIES = ["explicit", "interface", "implementation", "test", "supporting"]
 ADMITTED = "array<struct<key:bigint,used:bigint>>"
 
 
@@ -29,7 +34,7 @@ def per_file_cap(rows: DataFrame, request: str, path: str, key: str, most: int =
 
 
 def gather(rows: DataFrame, request: str) -> DataFrame:
-    """request, items: the shortlist in rank order; rows have rank, key, tokens, path."""
+    """request, items: the candidates in rank order; rows have rank, key, tokens, path."""
     return rows.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("rank", "key", "tokens", "path"))).alias("items"))
 
 
@@ -83,17 +88,19 @@ def mandatory_cap(items: Column, pinned_tokens: Column, budget: int, share: floa
 
 def claim_list(rows: list[dict], wants_tests: bool = True) -> list[dict]:
     """Claims worth a place, in score order.  A file's first claim by symbol or test pair always counts, a further one if
-    its path is named or it brings new symbol terms; a claim by path alone counts once for a file without another."""
+    its path is named or it brings new symbol terms; a claim by path alone counts once for a file without any other."""
+    strong = {r["path"] for r in rows if r["claim"] and r.get("strong", True)}
     covered: dict[str, set[str]] = {}
     out = []
     for r in rows:
         if not r["claim"] or r.get("is_test") and not wants_tests:
             continue
         known, terms = covered.get(r["path"]), set(r.get("symbol_terms") or ())
+        worth = known is None
         if r.get("strong", True):
-            worth = known is None or bool(r.get("named_path")) or bool(terms - known)
+            worth |= bool(r.get("named_path")) or bool(terms - (known or set()))
         else:
-            worth = known is None
+            worth &= r["path"] not in strong
         if worth:
             covered.setdefault(r["path"], set()).update(terms)
             out.append(r)
@@ -112,64 +119,140 @@ def file_tokens(packed: DataFrame, request: str) -> DataFrame:
     return packed.groupBy(request, "path").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("chunks"))
 
 
-def pack_one(rows: list[dict], budget: int, claim_share: float = 0.6, wants_tests: bool = True, required: set[str] = frozenset()) -> list[tuple[int, str]]:
+def shortlist(rows: DataFrame, request: str) -> DataFrame:
+    """The rows that some pass of ``pack_one`` can admit, with their rank among all of the request (score, then key).
+
+    Pins and claims stay.  Depth looks at the first DEPTH rows that nothing else took, and claims and breadth take CLAIMS and
+    PATHS at most.  Breadth and tail take one row a path: after one that did not fit only a smaller one can, as the room
+    left never grows, so of each path the rows smaller than all before them stay.
+    """
+    order = [F.desc("score"), F.asc("key")]
+    before = Window.partitionBy(request, "path").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(request).orderBy(*order)))
+    ranked = ranked.withColumns({"_least": F.min("tokens").over(before), "_pins": F.sum(F.col("pinned").cast("int")).over(Window.partitionBy(request))})
+    step = F.col("_least").isNull() | (F.col("tokens") < F.col("_least"))
+    return ranked.where(F.col("pinned") | F.col("claim") | (F.col("rank") <= DEPTH + CLAIMS + PATHS + F.col("_pins")) | step).drop("_least", "_pins")
+
+
+def pack_one(rows: list[dict], budget: int, claim_share: float = 1.0, wants_tests: bool = True, required: set[str] = frozenset(), cutoff: float | None = None, counts: dict | None = None) -> list[tuple[int, str]]:
     """All passes over one request: pins, claims, breadth, depth, tail.  Rows come in rank order with key, path, tokens,
     score, terms, and the flags pinned and claim, and what ``claim_list`` and ``claim_order`` look at if it is known; the
-    result is (key, pass) in order of admission."""
+    result is (key, pass) in order of admission.  ``counts``, if given, gets the diagnostics."""
     chosen: list[tuple[int, str]] = []
-    used, core = 0, budget - int(CORE_HELD * budget)
+    used, core = 0, max(0, budget - int(CORE_HELD * budget))
     taken: set[int] = set()
     paths: set[str] = set()
     by_file: dict[str, int] = {}
-    picked_terms: list[set[str]] = []
+    by_kind: dict[str, int] = {}
+    picked_terms: list[set] = []
+    spent: dict[str, int] = {}
 
     def take(r: dict, name: str) -> None:
         nonlocal used
         chosen.append((r["key"], name))
         taken.add(r["key"])
         used += r["tokens"]
-        by_file[r["path"]] = by_file.get(r["path"], 0) + r["tokens"]
-        picked_terms.append(set(r["terms"]))
+        kind = r.get("category") or "supporting"
+        for held, at in ((by_file, r["path"]), (by_kind, kind), (spent, name)):
+            held[at] = held.get(at, 0) + r["tokens"]
+        picked_terms.append(set(r["terms"] or ()))
 
-    def closest(own: set[str]) -> float:
+    def closest(own: set) -> float:
         both = ((len(own & p), len(own) + len(p)) for p in picked_terms)
         return max((n / (total - n) for n, total in both if total > n), default=0.0)
 
     for r in rows:
         if r["pinned"]:
             take(r, "pin")
-    n_claims, spent = 0, 0
-    for r in claim_order(claim_list([r for r in rows if r["key"] not in taken], wants_tests), required):
-        if n_claims < CLAIMS and used + r["tokens"] <= budget and spent + r["tokens"] <= claim_share * budget:
+    claimed = claim_order(claim_list([r for r in rows if r["key"] not in taken], wants_tests), required)
+    dropped = 0
+    for r in claimed[:CLAIMS]:
+        if used + r["tokens"] <= min(budget, claim_share * budget):
             take(r, "claim")
-            n_claims, spent = n_claims + 1, spent + r["tokens"]
             paths.add(r["path"])
-    for name, limit in (("breadth", core), ("depth", core), ("tail", budget)):
-        seen = 0
-        for r in rows:
-            if r["key"] in taken:
-                continue
-            seen += 1
-            fits = used + r["tokens"] <= limit
-            if name == "depth":
-                room = by_file.get(r["path"], 0) + r["tokens"] <= max(r["tokens"], int(DEPTH_SHARE * budget))
-                if seen <= DEPTH and fits and room and r["score"] - OVERLAP * closest(set(r["terms"])) >= 0:
-                    take(r, name)
-            elif fits and r["path"] not in paths and (name == "tail" or len(paths) < PATHS):
-                take(r, name)
+        else:
+            dropped += 1
+    late = [] if wants_tests else [r for r in rows if r.get("is_test")]
+    for r in [r for r in rows if wants_tests or not r.get("is_test")] + late:
+        if r["key"] not in taken and r["path"] not in paths:
+            if len(paths) >= PATHS:
+                break
+            if used + r["tokens"] <= core:
+                take(r, "breadth")
                 paths.add(r["path"])
+    seen = skipped = 0
+    for r in rows:
+        if r["key"] in taken:
+            continue
+        seen += 1
+        if cutoff is not None and r["score"] < cutoff:
+            skipped += 1
+            continue
+        room = by_file.get(r["path"], 0) + r["tokens"] <= max(r["tokens"], int(DEPTH_SHARE * budget))
+        if seen <= DEPTH and room and used + r["tokens"] <= core and r["score"] - OVERLAP * closest(set(r["terms"] or ())) >= 0:
+            take(r, "depth")
+    for r in rows if core < budget else []:
+        if r["key"] not in taken and r["path"] not in paths and used + r["tokens"] <= budget:
+            take(r, "tail")
+            paths.add(r["path"])
+    if counts is not None:
+        each = {p: sum(1 for _, q in chosen if q == p) for p in passes()}
+        pins = spent.get("pin", 0)
+        counts |= {
+            "selected_count": len(chosen), "used_tokens": used, "budget": budget, "budget_exceeded": used > budget, "overflow_tokens": max(0, used - budget),
+            "mandatory_tokens": pins + spent.get("claim", 0), "unconditional_tokens": pins, "minimum_achievable_budget": pins, "budget_feasible": pins <= budget,
+            "claims_admitted": each["claim"], "claims_dropped_budget": dropped, "claims_capped": max(0, len(claimed) - CLAIMS),
+            "breadth_paths": len(paths), "breadth_chunks": each["breadth"], "depth_chunks": each["depth"], "tail_fill": each["tail"],
+            "pin_candidates": sum(1 for r in rows if r["pinned"] or r["claim"]), "pin_candidates_selected": sum(1 for r in rows if (r["pinned"] or r["claim"]) and r["key"] in taken),
+            "per_file_tokens": by_file, "per_category_tokens": by_kind, "score_cutoff_skipped": skipped,
+        }
     return chosen
 
 
+def _packed(own: list[dict], budget: int, counts: dict | None = None) -> list[tuple]:
+    """(key, pass) in order of category, score and rank."""
+    flag = own[0].get("wants_tests")
+    out = pack_one(own, budget, 1.0, True if flag is None else flag, {r["path"] for r in own if r.get("required")}, counts=counts)
+    by_key = {r["key"]: r for r in own}
+    place = lambda x: (CATEGORIES.index(by_key[x[0]].get("category") or "supporting"), -by_key[x[0]]["score"], by_key[x[0]]["rank"])
+    return sorted(out, key=place)
+
+
 def pack(rows: DataFrame, request: str, budget: int) -> DataFrame:
-    """request, key, pass, position for every admitted candidate; rows are shortlisted, with rank and the fields of ``pack_one``."""
+    """request, key, pass, position for every admitted candidate; rows have rank and the fields of ``pack_one``, and
+    wants_tests, required and category if they are known."""
+    kinds = {c: rows.schema[c].dataType for c in (request, "key")}
+    arrow = to_arrow_schema(rows.select(request, "key").schema)
 
     def run(t: pa.Table) -> pa.Table:
         own = sorted(t.to_pylist(), key=lambda r: r["rank"])
-        out = pack_one(own, budget)
-        return pa.table({request: pa.array([own[0][request]] * len(out), pa.int64()), "key": pa.array([k for k, _ in out], pa.int64()), "pass": pa.array([p for _, p in out], pa.string()), "position": pa.array(range(1, len(out) + 1), pa.int32())})
+        out = _packed(own, budget)
+        return pa.table({request: pa.array([own[0][request]] * len(out), arrow.field(request).type), "key": pa.array([k for k, _ in out], arrow.field("key").type), "pass": pa.array([p for _, p in out], pa.string()), "position": pa.array(range(1, len(out) + 1), pa.int32())})
+
+    return rows.groupBy(request).applyInArrow(run, f"`{request}` {kinds[request].simpleString()}, key {kinds['key'].simpleString()}, pass string, position int")
+
+
+def diagnostics(rows: DataFrame, request: str, budget: int) -> DataFrame:
+    """request, diagnostics: the counts of each request's pack, as JSON with keys in order."""
+    kind, arrow = rows.schema[request].dataType, to_arrow_schema(rows.select(request).schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        own, counts = sorted(t.to_pylist(), key=lambda r: r["rank"]), {}
+        _packed(own, budget, counts)
+        return pa.table({request: pa.array([own[0][request]], arrow.field(0).type), "diagnostics": pa.array([json.dumps(counts, sort_keys=True)], pa.string())})
+
+    return rows.groupBy(request).applyInArrow(run, f"`{request}` {kind.simpleString()}, diagnostics string")
+
+
+def coverage(required: DataFrame, indexed: DataFrame, packed: DataFrame, request: str, budget: int) -> DataFrame:
+    """request, path, why of every required path that is not in the pack: not_indexed, budget (nothing was left) or dropped.
 
-    return rows.groupBy(request).applyInArrow(run, f"{request} long, key long, pass string, position int")
+    ``required`` has request and path, ``indexed`` path, ``packed`` request, path and tokens."""
+    used = packed.groupBy(request).agg(F.sum("tokens").alias("used"))
+    missed = required.select(request, "path").distinct().join(packed.select(request, "path").distinct(), [request, "path"], "left_anti")
+    known = indexed.select("path", F.lit(True).alias("known")).distinct()
+    why = F.when(F.col("known").isNull(), "not_indexed").when(F.coalesce("used", F.lit(0)) >= budget, "budget").otherwise("dropped")
+    return missed.join(known, "path", "left").join(used, request, "left").select(request, "path", why.alias("why"))
 
 
 def recovery(claimed: DataFrame, admitted: DataFrame, request: str, key: str, most: int = 5) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..functions.text import token_count
 from pyspark.sql.window import Window
 
 # What an extension says of a file's content, and what marks a log.
@@ -144,3 +146,10 @@ def fingerprint(rows: DataFrame, request: str, columns: list[str]) -> DataFrame:
     """request, fingerprint of its rows in position order."""
     ordered = F.array_sort(F.collect_list(F.struct("position", *columns)))
     return rows.groupBy(request).agg(F.sha2(F.to_json(ordered), 256).alias("fingerprint"))
+
+
+def compact_evidence(content: Column, compacted: Column) -> dict[str, Column]:
+    """The compacted form where it is strictly smaller in tokens, else the content as it is."""
+    before, after = token_count(content), token_count(compacted)
+    smaller = after < before
+    return {"content": F.when(smaller, compacted).otherwise(content), "compacted": smaller, "tokens": F.when(smaller, after).otherwise(before)}

@@ -39,31 +39,54 @@ def fail_closed(text: Column) -> Column:
     return F.when(leaks(text), F.lit("")).otherwise(text)
 
 
-def redact_text(text: str) -> tuple[str, list[str]]:
-    """The text with placeholders, numbered by first appearance within a label, and the kinds found."""
+def redact_text(text: str, names: dict[str, str] | None = None, counts: dict[str, int] | None = None) -> tuple[str, list[str]]:
+    """The text with placeholders, numbered by first appearance within a label, and the kinds found.
+
+    ``names`` (of values) and ``counts`` (of labels) carry the numbering on from text to text."""
+    names, counts = {} if names is None else names, {} if counts is None else counts
     found = sorted((m.start(), -m.end(), kind) for kind, rule in RULES.items() for m in re.finditer(rule, text))
-    names: dict[tuple[str, str], str] = {}
-    counts: dict[str, int] = {}
     out, last, kinds = [], 0, set()
     for start, end, kind in found:
         if start < last:
             continue
         label, value = LABELS[kind], text[start:-end]
-        if (label, value) not in names:
+        if value not in names:
             counts[label] = counts.get(label, 0) + 1
-            names[label, value] = f"<REDACTED_{label}_{counts[label]}>"
-        out += [text[last:start], names[label, value]]
+            names[value] = f"<REDACTED_{label}_{counts[label]}>"
+        out += [text[last:start], names[value]]
         last = -end
         kinds.add(kind)
     return "".join([*out, text[last:]]), sorted(kinds)
 
 
 def redact(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, redacted, kinds of every row."""
+    """key, redacted, kinds of every row, each numbered by itself."""
+    kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [redact_text(x or "") for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column(key), pa.array([x for x, _ in both], pa.string()), pa.array([k for _, k in both], pa.list_(pa.string()))], names=[key, "redacted", "kinds"])
 
-    return rows.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} long, redacted string, kinds array<string>")
+    return rows.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, redacted string, kinds array<string>")
+
+
+def redact_requests(evidence: DataFrame, request: str, key: str, position: str, text: str) -> DataFrame:
+    """request, key, redacted of the evidence of every request (a budget's worth of tokens), numbered through it in order."""
+    kept = evidence.select(request, key, F.col(position).alias("_at"), F.col(text).alias("_text"))
+    types = {c: kept.schema[c].dataType.simpleString() for c in (request, key)}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_at")
+        names: dict[str, str] = {}
+        counts: dict[str, int] = {}
+        out = [redact_text(x or "", names, counts)[0] for x in t.column("_text").to_pylist()]
+        return pa.table({request: t.column(request), key: t.column(key), "redacted": pa.array(out, pa.string())})
+
+    return kept.groupBy(request).applyInArrow(run, f"`{request}` {types[request]}, `{key}` {types[key]}, redacted string")
+
+
+def cleared(evidence: DataFrame, request: str, text: str) -> DataFrame:
+    """The evidence of requests without a leak in any of it; nothing of the others."""
+    bad = evidence.where(leaks(F.col(text))).select(request).distinct()
+    return evidence.join(bad, request, "left_anti")

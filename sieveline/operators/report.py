@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fmt_tokens, token_count
+from ..sources.store import cut
 
 
 def citations(terms: DataFrame, packed_terms: DataFrame, request: str) -> DataFrame:
@@ -25,8 +26,16 @@ def overlap_class(symbol_hit: Column, path_hit: Column, test_pair: Column, named
 
 
 def macro(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, median, least and number of values."""
-    return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.count(value).alias("n"))
+    """Mean, median (of an even number of values the mean of the two in the middle), least and number of values."""
+    sums = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.count(value).alias("n"))
+    middle = at_rank(rows, by, value, {"low": F.floor((F.col("n") + 1) / 2), "high": upper_median_rank()})
+    middle = middle.select(F.col(by).alias("_by"), ((F.col("low") + F.col("high")) / 2.0).alias("median"))
+    return sums.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "mean", "median", "least", "n")
+
+
+def upper_median_rank() -> Column:
+    """1-based rank of the value at n // 2 of n sorted values."""
+    return F.floor(F.col("n") / 2) + 1
 
 
 def p95_rank() -> Column:
@@ -39,12 +48,28 @@ def index_rank(percent: float) -> Column:
     return F.bround(F.lit(percent / 100) * (F.col("n") - 1)) + 1
 
 
+#: Places of a table of distinct values that are counted together.
+BINS = 256
+
+
 def at_rank(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
-    """The values at given ranks of each group, from its histogram: only distinct values are sorted."""
-    hist = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    total = hist.groupBy(by).agg(F.sum("c").alias("n"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
-    return hist.withColumn("upto", upto).join(total, by).groupBy(by).agg(*[F.min(F.when(F.col("upto") >= rank, F.col(value))).alias(name) for name, rank in ranks.items()])
+    """The values at given ranks (of n values) of each group, from a histogram of its distinct values.
+
+    Distinct values are sorted across partitions; each partition counts its own, and only partition totals are summed in
+    order before, so neither a group's values nor its distinct values meet in one task.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    hist = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = cut(hist.repartitionByRange(min(parts, BINS), "_g", "_v").withColumn("_at", F.spark_partition_id()))
+    total = hist.groupBy(F.col("_g").alias("_tg")).agg(F.sum("_c").alias("n"))
+    held = hist.groupBy(F.col("_g").alias("_hg"), F.col("_at").alias("_ha")).agg(F.sum("_c").alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy("_hg").orderBy("_ha").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select("_hg", "_ha", F.coalesce(before, F.lit(0)).alias("_before"))
+    both = hist.join(held, F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_at") == F.col("_ha")))
+    both = both.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_at").orderBy("_v")))
+    both = both.join(total, F.col("_g").eqNullSafe(F.col("_tg")))
+    return both.groupBy(F.col("_g").alias(by)).agg(*[F.min(F.when(F.col("_upto") >= rank, F.col("_v"))).alias(name) for name, rank in ranks.items()])
 
 
 def message_tokens(messages: Column) -> Column:

@@ -41,8 +41,10 @@ def symbol_score(symbol: Column, task_terms: Column, specific_terms: Column) ->
 
 
 def is_test(path: Column) -> Column:
-    base = F.element_at(F.split(path, "/"), -1)
-    return base.startswith("test_") | path.contains(".test.") | path.contains(".spec.") | path.startswith("tests/") | path.contains("/tests/")
+    """By the lower-cased path: a file named test_..., ....test.ts or ....spec.ts, or one under tests/ at the root."""
+    low = F.lower(path)
+    base = F.element_at(F.split(low, "/"), -1)
+    return base.startswith("test_") | base.endswith(".test.ts") | base.endswith(".spec.ts") | low.startswith("tests/")
 
 
 def test_pair_score(path: Column, symbol: Column) -> Column:

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for module in ("text", "corpus", "ranking", "evidence"):
+for module in ("text", "corpus", "ranking", "evidence", "surface"):
     import_module(f"{__package__}.{module}")
 
 

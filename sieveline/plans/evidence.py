@@ -12,17 +12,23 @@ from ..operators import compress, conversation, evaluate, lexical, packing, post
 from .catalogue import query, table
 from .text import BM25, TOP, scores
 
-BUDGET, SHORTLIST = 4000, packing.SHORTLIST
+BUDGET = 4000
 CORE = BUDGET - int(packing.CORE_HELD * BUDGET)
-CAND = f"""{BM25}, cand AS (SELECT item_id, doc_id, source AS path, rank, CAST({o.tokens('text')} AS BIGINT) AS tokens FROM ({TOP.format(SHORTLIST)}) JOIN documents USING (doc_id))"""
+CAND = f"""{BM25}, cand AS (SELECT item_id, doc_id, source AS path, rank, CAST({o.tokens('text')} AS BIGINT) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) JOIN documents USING (doc_id))"""
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The best documents of every item: item_id, key, score, rank, tokens, path, and their terms."""
-    top = lexical.top_k(scores(spark, d, SHORTLIST), ["item_id"], "doc_id", SHORTLIST)
-    docs = table(spark, d, "documents")
-    whole = docs.select("doc_id", F.col("source").alias("path"), t.token_count(F.col("text")).alias("tokens")).join(lexical.term_sets(docs, "doc_id", "text"), "doc_id")
-    return top.join(whole, "doc_id").select("item_id", F.col("doc_id").alias("key"), "score", F.col("rank").cast("long").alias("rank"), "tokens", "path", "terms")
+    """Every document that shares a term with an item, in order: item_id, key, score, rank, tokens, path."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), t.token_count(F.col("text")).alias("tokens"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    ranked = scores(spark, d).withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.join(docs, "doc_id").select("item_id", F.col("doc_id").alias("key"), "score", "rank", "tokens", "path")
+
+
+def with_terms(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """``rows``, few a request, with the terms of their documents."""
+    sets = lexical.term_sets(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "key")
+    return rows.join(sets, "key")
 
 
 def folded(first: str, ok: str, add: str) -> str:
@@ -68,9 +74,20 @@ def per_file_cap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pack_full(spark: SparkSession, d: str) -> DataFrame:
     """Every pass for every benchmark item: its best document is pinned, and the next four are claims."""
-    best = Window.partitionBy("item_id")
-    rows = candidates(spark, d).withColumn("score", F.col("score") / F.max("score").over(best)).withColumns({"pinned": F.col("rank") == 1, "claim": F.col("rank").between(2, 5)})
-    return packing.pack(rows, "item_id", BUDGET)
+    return packing.pack(pack_rows(spark, d), "item_id", BUDGET)
+
+
+def pack_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = lexical.normalised(candidates(spark, d), ["item_id"]).withColumns({"pinned": F.col("rank") == 1, "claim": F.col("rank").between(2, 5)})
+    short = packing.shortlist(rows.drop("rank"), "item_id")
+    sets = lexical.term_ids(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "key")
+    return short.join(sets, "key")
+
+
+@query()
+def pack_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the pack of every item, as JSON."""
+    return packing.diagnostics(pack_rows(spark, d), "item_id", BUDGET)
 
 
 @query("""WITH c AS (SELECT DISTINCT user_id, event_type, event_id, value > 40 AS on_path FROM events), a AS (SELECT user_id, event_type, bool_or(on_path) AS any_on FROM c GROUP BY ALL)
@@ -86,7 +103,7 @@ def twin_demotion(spark: SparkSession, d: str) -> DataFrame:
     SELECT s.item_id, s.a, s.b, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM s JOIN n na ON na.item_id = s.item_id AND na.doc_id = s.a JOIN n nb ON nb.item_id = s.item_id AND nb.doc_id = s.b""")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs among an item's first six, by an equi-join on the item."""
-    top = candidates(spark, d).where("rank <= 6").select("item_id", "key", "terms")
+    top = with_terms(spark, d, candidates(spark, d).where("rank <= 6")).select("item_id", "key", "terms")
     pairs = top.select("item_id", F.col("key").alias("a"), F.col("terms").alias("ta")).join(top.select("item_id", F.col("key").alias("b"), F.col("terms").alias("tb")), "item_id").where("a < b")
     j = pairs.withColumn("jaccard", packing.jaccard(F.col("ta"), F.col("tb"))).where("jaccard > 0")
     return j.select("item_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
@@ -245,7 +262,7 @@ def required_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper_median FROM documents GROUP BY lang")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(evaluate.upper_median("n_chars").cast("long").alias("upper_median"))
+    return report.at_rank(table(spark, d, "documents"), "lang", "n_chars", {"upper_median": report.upper_median_rank()})
 
 
 @query("SELECT lang, count(*) AS n, CAST(sum((left(sha256(CAST(doc_id AS VARCHAR)), 8) < '66666666')::INT) AS BIGINT) AS dev FROM documents GROUP BY lang")
@@ -335,7 +352,7 @@ def percentile_ranks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CAND}, qu AS (SELECT DISTINCT item_id, term FROM q WHERE {o.USABLE}), p AS (SELECT DISTINCT c.item_id, c.doc_id, term FROM cand c JOIN b USING (doc_id) WHERE rank <= 5) SELECT qu.item_id, qu.term, count(p.term) AS cited FROM qu LEFT JOIN p ON p.item_id = qu.item_id AND p.term = qu.term GROUP BY ALL")
 def need_citations(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "benchmark").select("item_id", F.explode(t.usable_terms(F.col("text"))).alias("term"))
-    packed = candidates(spark, d).where("rank <= 5").select("item_id", "key", F.explode("terms").alias("term"))
+    packed = with_terms(spark, d, candidates(spark, d).where("rank <= 5")).select("item_id", "key", F.explode("terms").alias("term"))
     return report.citations(terms, packed, "item_id")
 
 
@@ -346,7 +363,7 @@ def claim_relevance(spark: SparkSession, d: str) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     weights = lexical.document_frequency(lexical.postings(docs, "doc_id", "text")).crossJoin(F.broadcast(n)).select("term", lexical.idf(F.col("df"), F.col("n")).alias("idf"))  # n is one row
     asked = table(spark, d, "benchmark").select("item_id", F.explode(t.usable_terms(F.col("text"))).alias("term"))
-    matched = candidates(spark, d).where("rank <= 5").select("item_id", F.col("key").alias("doc_id"), F.explode("terms").alias("term")).join(asked, ["item_id", "term"])
+    matched = with_terms(spark, d, candidates(spark, d).where("rank <= 5")).select("item_id", F.col("key").alias("doc_id"), F.explode("terms").alias("term")).join(asked, ["item_id", "term"])
     return report.claim_relevance(matched, weights, "item_id", "doc_id").withColumn("relevance", F.round("relevance", 5))
 
 

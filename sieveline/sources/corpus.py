@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +92,69 @@ def label_tasks(spark: SparkSession, path: str) -> DataFrame:
     label = "array<struct<path:string,symbol:string,lines:array<int>>>"
     schema = f"task_id string, task string, repository_id string, token_budget int, difficulty string, required_chunks {label}, helpful_chunks {label}, irrelevant_chunks {label}, distractor_chunks {label}"
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+class PathPolicy:
+    """Which paths may be read: never those that a denied glob matches, unless a glob of ``allow_read`` does."""
+
+    def __init__(self, denied: list[str], allow_read: list[str] | None = None) -> None:
+        self.denied, self.allow_read = denied, allow_read or []
+
+    def allowed(self, path: Column) -> Column:
+        return ~matches_any(path, self.denied) | matches_any(path, self.allow_read)
+
+
+def merged(base: dict, over: dict) -> dict:
+    """``base`` with ``over`` laid on it: nested mappings are merged, anything else is replaced."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def layered(defaults: dict, *layers: dict | str | None) -> dict:
+    """Settings from defaults and layers in order; a string is a YAML (or else JSON) file, a missing one or None is empty."""
+    out = merged(defaults, {})
+    for layer in layers:
+        if isinstance(layer, str):
+            try:
+                raw = Path(layer).read_text(encoding="utf-8")
+            except FileNotFoundError:
+                continue
+            try:
+                import yaml
+
+                layer = yaml.safe_load(raw)
+            except ImportError:
+                layer = json.loads(raw)
+        out = merged(out, layer or {})
+    return out
+
+
+def repository_id(path: str) -> str:
+    """A slug of a folder's name."""
+    return re.sub(r"[^a-z0-9]+", "-", path.rstrip("/").rpartition("/")[2].lower()).strip("-") or "corpus"
+
+
+def write_report(rows: DataFrame, folder: str, title: str) -> None:
+    """A batch's rows, one a request, as JSON lines, and the same as a Markdown table; both written by executors."""
+    rows.write.mode("append").json(f"{folder}/report.json")
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]), " | "), F.lit(" |"))
+    head = "\n".join([f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)])
+    spark = rows.sparkSession
+    lines = spark.createDataFrame([(0, head)], "at int, value string").unionByName(rows.select(F.lit(1).alias("at"), cells.alias("value")))
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(f"{folder}/report.md")
+
+
+def split_tasks(tasks: DataFrame, split: dict, digest: str | None) -> dict[str, DataFrame]:
+    """The tasks of each part of a frozen split; ValueError if the task set's digest or its members do not match."""
+    if split.get("task_set_hash") is not None and split["task_set_hash"] != digest:
+        raise ValueError("the task set is not the one that was split")
+    spark, out = tasks.sparkSession, {}
+    for part in ("dev", "eval"):
+        ids = spark.createDataFrame([(x,) for x in split.get(part, [])], "task_id string")
+        lost = ids.join(tasks.select("task_id"), "task_id", "left_anti").count()
+        if lost:
+            raise ValueError(f"{lost} tasks of {part} are missing")
+        out[part] = tasks.join(ids, "task_id", "left_semi")
+    return out

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as t
-from sieveline.operators import chunking, claims, evaluate, index, lexical, packing, post, privacy, structural
+from sieveline.operators import chunking, claims, evaluate, index, lexical, packing, post, privacy, report, structural
 from sieveline.sources import corpus
 from sieveline.streaming import ledger
 
@@ -168,7 +168,8 @@ def test_metrics_by_hand(spark):
     assert got[1]["recall"] == 0.5 and got[1]["mrr"] == 0.5 and got[1]["ndcg"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
     assert (got[2]["recall"], got[2]["mrr"]) == (0.0, 0.0)
     for n in (1, 2, 5, 6):
-        assert spark.range(n).agg(evaluate.upper_median("id").alias("m")).first()["m"] == n // 2
+        rows = spark.range(n).selectExpr("id", "0 AS g")
+        assert report.at_rank(rows, "g", "id", {"m": report.upper_median_rank()}).first()["m"] == n // 2
 
 
 def test_streaming_ledger(spark, tmp_path):
@@ -198,7 +199,10 @@ def test_engine_end_to_end(spark):
     requests = spark.createDataFrame([(1, "How does apply_discount change the price"), (2, "count the stock")], "request_id long, task string")
     got = engine.select(requests, 60, explicit=["mail.md"], exclude=["src/stock.py"]).orderBy("request_id", "position").collect()
     first = [r for r in got if r["request_id"] == 1]
-    assert (first[0]["path"], first[0]["pass"], first[0]["strategy"]) == ("docs/mail.md", "pin", "verbatim") and "<REDACTED_EMAIL_1>" in first[0]["content"]
+    pin = next(r for r in first if r["pass"] == "pin")
+    assert (pin["path"], pin["strategy"], pin["category"]) == ("docs/mail.md", "verbatim", "supporting") and "<REDACTED_EMAIL_1>" in pin["content"] and "explicit_path" in pin["reasons"]
+    kinds = [packing.CATEGORIES.index(r["category"]) for r in first]
+    assert kinds == sorted(kinds)
     assert ("src/discount.py", "claim", "apply_discount") in {(r["path"], r["pass"], r["symbol"]) for r in first}
     assert "src/stock.py" not in {r["path"] for r in got} and sum(r["tokens"] for r in first) <= 60
     evidence = engine.select(requests, 60)
@@ -206,6 +210,63 @@ def test_engine_end_to_end(spark):
     assert {r["request_id"]: r["selected_tokens"] > 0 for r in engine.accounting(requests, evidence).collect()} == {1: True, 2: True}
 
 
+def test_engine_claims(spark):
+    """Pins need no shared term; paths, tests of claimed sources and authorities are claims with their reasons."""
+    from sieveline.engine import Engine
+
+    files = [("src/a.py", "python", "def price():\n    return 1\n"), ("src/util_price.py", "python", "x = 1\n"), ("tests/test_util_price.py", "python", "y = 2\n"), ("notes/zzz.md", "markdown", "nothing alike\n"), ("rules/main.md", "markdown", "law\n")]
+    engine = Engine(spark)
+    engine.index(spark.createDataFrame(files, "path string, language string, content string"))
+    requests = spark.createDataFrame([(1, "change util_price"), (2, "run the regression of util_price"), (3, "see test_util_price")], "request_id long, task string")
+    got = {(r["request_id"], r["key"].rpartition(":")[0]): r["reasons"] for r in engine.claims(requests, ["zzz.md"], ["rules/*"]).collect()}
+    assert got[1, "src/util_price.py"] == ["named_path"] and got[1, "notes/zzz.md"] == ["explicit_path"] and got[1, "rules/main.md"] == ["authority"]
+    assert "test_pair" in got[1, "tests/test_util_price.py"] and got[1, "src/a.py"] == ["named_symbol"]
+    assert {r["request_id"]: r["wants_tests"] for r in engine.wants_tests(requests).collect()} == {1: False, 2: True, 3: True}
+    packed = engine.select(requests, 100, explicit=["zzz.md"]).collect()
+    for q in (1, 2, 3):
+        own = {r["path"]: r for r in packed if r["request_id"] == q}
+        assert own["notes/zzz.md"]["pass"] == "pin" and own["src/util_price.py"]["pass"] == "claim"
+        assert (own["tests/test_util_price.py"]["pass"] == "claim") == (q != 1)
+    rows = engine.candidates(requests, required=["src/a.py", "gone.py"])
+    assert rows.where("required").count() == 3
+    import json
+
+    counts = {r["request_id"]: json.loads(r["diagnostics"]) for r in packing.diagnostics(rows, "request_id", 100).collect()}
+    assert len(counts) == 3 and all(c["used_tokens"] <= 100 and c["budget_feasible"] and sum(c["per_file_tokens"].values()) == c["used_tokens"] for c in counts.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 6), st.booleans(), st.booleans()), min_size=1, max_size=60), st.integers(1, 150))
+def test_shortlist_rules_keep_the_pack(specs, budget):
+    """Packs of all rows and of those that ``shortlist`` keeps are the same, with limits small enough to bind."""
+    rows = [{"key": i, "tokens": n, "path": f"p{p}", "pinned": pin and i % 7 == 0, "claim": claim and i % 5 == 0, "score": 1 / (i + 1), "rank": i + 1, "terms": [str(n % 5), str(p)]} for i, (n, p, pin, claim) in enumerate(specs)]
+    held = packing.CLAIMS, packing.PATHS, packing.DEPTH
+    packing.CLAIMS, packing.PATHS, packing.DEPTH = 2, 3, 4
+    try:
+        least: dict[str, int] = {}
+        kept = []
+        for r in rows:
+            first = 4 + 2 + 3 + sum(x["pinned"] for x in rows)
+            if r["pinned"] or r["claim"] or r["rank"] <= first or r["tokens"] < least.get(r["path"], 1 << 30):
+                kept.append(r)
+            least[r["path"]] = min(r["tokens"], least.get(r["path"], 1 << 30))
+        assert packing.pack_one(rows, budget) == packing.pack_one(kept, budget)
+    finally:
+        packing.CLAIMS, packing.PATHS, packing.DEPTH = held
+
+
+def test_labels_and_coverage(spark):
+    chunks = spark.createDataFrame([("k1", "a", 1, 10, None), ("k2", "a", 11, 20, "f"), ("k3", "b", 1, 5, None)], "key string, path string, start_line int, end_line int, symbol string")
+    labels = spark.createDataFrame([(1, "required", "a", None, [2, 9]), (1, "helpful", "a", "f", None), (1, "irrelevant", "b", None, None), (2, "required", "a", None, [5, 12]), (2, "required", "b", None, None), (2, "irrelevant", "b", None, [1, 5])], "q long, kind string, path string, symbol string, lines array<int>")
+    got = {(r["q"], r["key"]): r["relevant"] for r in evaluate.relevance_labels(chunks, labels, "q").collect()}
+    assert got == {(1, "k1"): 1, (1, "k2"): 1, (1, "k3"): 0, (2, "k3"): 0}  # lines 5 to 12 are inside no chunk
+    required = spark.createDataFrame([(1, "a"), (1, "x"), (1, "b"), (2, "b")], "q long, path string")
+    packed = spark.createDataFrame([(1, "a", 5), (2, "a", 9)], "q long, path string, tokens long")
+    assert {tuple(r) for r in packing.coverage(required, chunks, packed, "q", 9).collect()} == {(1, "x", "not_indexed"), (1, "b", "dropped"), (2, "b", "budget")}
+    runs = spark.createDataFrame([(100, 50), (100, 10), (0, 0), (200, 100)], "candidate_tokens long, selected_tokens long")
+    assert tuple(evaluate.batch_totals(runs).first()) == (4, 400, 160, 50.0)
+
+
 def test_compress(spark):
     from sieveline.operators import compress
 
