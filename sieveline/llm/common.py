@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from ..sources.store import cut
+from ..sources.store import cut, shared_folder
 
 U64 = np.uint64
 LIBC = ctypes.CDLL(None)
@@ -153,15 +152,25 @@ def restored(passed: DataFrame, docs: DataFrame) -> DataFrame:
     return passed.select(*[F.col("raw").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder that the cluster shares, and read again."""
+def stored(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the folder that the cluster shares, and read again; ``held`` gets the path."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sieveline-")
-    path = f"{shared.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in held:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    held.clear()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``) and a ``number`` that tells even equal rows apart; stored, so that it stays."""
     return stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, among, cut, join_heavy, loads, numbered, parts, rows_of, slices, span_hashes, stored, text_bytes, texts, token_runs, tidy
+from .common import U64, among, cut, join_heavy, loads, numbered, parts, release, rows_of, slices, span_hashes, stored, text_bytes, texts, token_runs, tidy
 from .decontam import LOWER
 from .decontam import fold as words_fold
 
@@ -381,7 +381,7 @@ def _in_slices(shards: DataFrame, held: DataFrame, run: Callable[[Iterator[pa.Re
     return links.unionByName(_dealt(second, key).mapInArrow(tidy(run), "a long, b long"))
 
 
-def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total: int) -> DataFrame:
+def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total: int, held: list[str] | None = None) -> DataFrame:
     """Stars (a, b), a > b, of the groups of sets that share a band and are alike; ``nodes`` has one row a set.
 
     Shards by band first find what may be alike, from fingerprints and sketches; the linked groups of that are the shards
@@ -412,7 +412,7 @@ def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total:
     groups = components(_in_slices(shards, nodes.select("node", "fp", "size", "sketch"), maybe))
     groups = cut(groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
     alone = cut(groups.select(F.col("node").alias("number")))
-    sets = stored(shingle_sets(among(rows, alone, "left_semi"), k).join(nodes.select("node", "fp"), "node"))
+    sets = stored(shingle_sets(among(rows, alone, "left_semi"), k).join(nodes.select("node", "fp"), "node"), held)
     crowds = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
     slices_of = F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM)).cast("long")
     shards = cut(join_heavy(groups, crowds, ["label"], "n", groups.count()).select(F.col("label").alias("key"), "node", slices_of.alias("s")))
@@ -435,16 +435,18 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small)
 
 
-def _classes(rows: DataFrame, k: int, radius: int, bands: int) -> DataFrame:
-    """number, doc_id, fp and the representative (nameless, doc_id, number) of every row's group."""
+def _classes(rows: DataFrame, k: int, radius: int, bands: int, held: list[str] | None = None) -> DataFrame:
+    """number, doc_id, fp and the representative (nameless, doc_id, number) of every row's group; ``held`` gets the paths of
+    the tables that were stored for it."""
+    keep = (lambda df: stored(df, held)) if bands else cut
     by = "digest" if bands else "fp"
-    members = (stored if bands else cut)(fingerprints(rows, k, bands))
+    members = keep(fingerprints(rows, k, bands))
     more = [F.first(c).alias(c) for c in ("fp", "bands", "size", "sketch")] if bands else []
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "number")).alias("best")
-    nodes = (stored if bands else cut)(members.groupBy(by).agg(F.min("number").alias("node"), best, F.count(F.lit(1)).alias("n"), *more))
+    nodes = keep(members.groupBy(by).agg(F.min("number").alias("node"), best, F.count(F.lit(1)).alias("n"), *more))
     whole = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     if bands:
-        links = _alike_links(rows, k, radius, nodes, whole["nodes"] * bands)
+        links = _alike_links(rows, k, radius, nodes, whole["nodes"] * bands, held)
     else:
         keys = _block_keys(whole["nodes"], radius)
         links = _links(nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key")), radius, whole["nodes"] * len(keys))
@@ -465,6 +467,7 @@ def near_dedup(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) ->
 
 def representatives(docs: DataFrame, k: int = 3, radius: int = 3, bands: int = 0) -> DataFrame:
     """The rows of ``docs``, whole, that stand for their groups: of the smallest doc_id, one of each group."""
-    rows = numbered(docs)
-    copies = cut(_classes(rows_of(rows), k, radius, bands).where(F.col("number") != F.col("top.number")).select("number"))
+    rows, held = numbered(docs), []
+    copies = cut(_classes(rows_of(rows), k, radius, bands, held).where(F.col("number") != F.col("top.number")).select("number"))
+    release(docs.sparkSession, held)
     return among(rows, copies, "left_anti").select("row.*")

@@ -128,8 +128,8 @@ def longest_previous(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """The upper half of a hash scaled to n buckets, up to 2 ** 32."""
-    return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+    """n buckets, up to 2 ** 32, from a hash mixed again: minimisers are small values, so their own upper bits are not even."""
+    return ((mix(h) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
 def tag_of(bucket: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -125,6 +125,8 @@ def test_suffix_buckets_use_all_bits():
     for n in (1, 48, 3 << 20, 1 << 30):
         b = suffix_dedup.bucket_of(h, n)
         assert b.min() >= 0 and b.max() < n and len(set(b.tolist())) > min(n - 1, 3900)
+    low = np.random.default_rng(2).integers(0, 2**64, (4000, 31), dtype=np.uint64).min(1)  # minimisers are small hashes
+    assert np.bincount(suffix_dedup.bucket_of(low, 48), minlength=48).max() < 150
 
 
 @pytest.mark.parametrize("rows", [corpus(8), [(5, "One two three four five six. One two three four five six.", None), (3, "x\nOne  TWO three four five six.", None)], []])
