@@ -3,7 +3,7 @@
 Each language has a codeword; one binary logistic classifier over hashed byte trigrams predicts each bit.  Decoding sums
 the logistic losses of the bits against every codeword, takes the codeword of least loss, and flags a text as ambiguous
 if the runner-up's share is within ``margin``.  Few languages use the exhaustive code, more use random balanced columns
-of a fixed seed.
+of fixed seeds, of which the code with the largest least distance is taken.
 
 Training reads a bounded sample: about ``per_lang`` documents of each language in expectation, chosen by a hash of
 doc_id, whole texts.  Prediction reads every whole text.
@@ -36,11 +36,22 @@ def code_of(k: int) -> np.ndarray:
     """k codewords of +1 and -1, every column splitting the languages."""
     if k <= 6:
         return np.array([[1 if c >> i & 1 else -1 for c in range(1, 1 << (k - 1))] for i in range(k)], np.float32).reshape(k, -1)
-    rng, columns = np.random.default_rng(7), []
-    while len(columns) < max(15, int(10 * np.log2(k))):
-        c = np.where(rng.permutation(k) < k // 2, 1, -1)
-        columns.append(c)
-    return np.array(columns, np.float32).T
+    best, apart = np.zeros((k, 0), np.float32), -1
+    for seed in range(20):  # of several random codes the one whose closest words differ most
+        rng, columns = np.random.default_rng(7 + seed), []
+        while len(columns) < max(15, int(10 * np.log2(k))):
+            columns.append(np.where(rng.permutation(k) < k // 2, 1, -1))
+        code = np.array(columns, np.float32).T
+        least = distances(code).min()
+        if least > apart:
+            best, apart = code, least
+    return best
+
+
+def distances(code: np.ndarray) -> np.ndarray:
+    """Bits in which each two different code words differ."""
+    far = (code.shape[1] - code @ code.T) / 2
+    return far[np.triu_indices(len(code), 1)]
 
 
 def trigrams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

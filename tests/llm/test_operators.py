@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 from collections import defaultdict
@@ -653,3 +654,60 @@ def test_code_words_differ():
     for k in (2, 3, 4, 6, 7, 30):
         code = langid.code_of(k)
         assert len({tuple(c) for c in code.tolist()}) == k and all(abs(c.sum()) < k for c in code.T)
+        far = [sum(x != y for x, y in zip(a, b, strict=True)) for a, b in itertools.combinations(code.tolist(), 2)]
+        assert sorted(langid.distances(code).tolist()) == sorted(far) and (k <= 6 or min(far) >= code.shape[1] / 4)
+
+
+def test_decoding_by_hand():
+    rng = random.Random(4)
+    code = langid.code_of(5)
+    for _ in range(30):
+        margins = [rng.uniform(-4, 4) for _ in range(code.shape[1])]
+        loss = [sum(math.log(1 + math.exp(-m * b)) for m, b in zip(margins, word, strict=True)) for word in code.tolist()]
+        share = [math.exp(-x) / sum(math.exp(-y) for y in loss) for x in loss]
+        assert langid.decode(np.array([margins]), code)[0].tolist() == pytest.approx(share)
+
+
+def test_ftrl_by_hand():
+    """Against the update rule written for one weight at a time."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(50):
+        f = sorted(rng.sample(range(30), 6)) + [1 << quality.BITS]
+        rows.append((np.array(f), np.array([rng.uniform(0.1, 3) for _ in f]), int(sum(f[:6]) > 90) if i % 9 else 1))
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.002, 0.1
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(quality.EPOCHS):
+        for f, x, y in rows:
+            w = {i: weight(i) for i in f.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(f.tolist(), x.tolist(), strict=True))))
+            for i, v in zip(f.tolist(), x.tolist(), strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    got = quality.ftrl(rows)
+    assert got[np.array(sorted(z))].tolist() == pytest.approx([weight(i) for i in sorted(z)]) and np.count_nonzero(got) <= len(z)
+    right = sum((float(got[f] @ x) > 0) == y for f, x, y in rows)
+    assert right >= 45
+
+
+def test_ngrams_by_hand():
+    """Words, pairs of words, and one feature each for a word twice in a row and with one other between."""
+    rng, known = random.Random(6), {}
+    texts = [" ".join(rng.choice(["ab", "cd", "é", "12", "!!", "ab12", "x-y"]) for _ in range(rng.randint(0, 25))) for _ in range(40)] + ["", " ", "a" * 70_000, "a b " * 5000]
+    raw = [t.encode() for t in texts]
+    f, first = quality.ngrams(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    for i, t in enumerate(texts):
+        words = re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\x80-\U0010ffff\x09-\x0d ]+", t)
+        want = []
+        for k, w in enumerate(words):
+            want.append((w,))
+            if k + 1 < len(words):
+                again = "next" if words[k + 1] == w else "skip" if k + 2 < len(words) and words[k + 2] == w else (w, words[k + 1])
+                want.append(again)
+        got = f[first[i] : first[i + 1]].tolist()
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert known.setdefault(w, g) == g
+    assert len(set(known.values())) > len(known) - 3
