@@ -190,6 +190,16 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     return df.join(F.broadcast(counts), "_at").withColumn("place", (F.col("_before") + own).cast("long")).drop("_at", "_before")  # a row a partition
 
 
+#: Narrow rows (links, states, sums) that one task takes.
+NARROW = 1 << 16
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more tasks than they ask for: the driver keeps a record of
+    every task, so a small table that is read again and again must not stay dealt over as many partitions as a shuffle has."""
+    return df.coalesce(max(1, -(-rows // NARROW)))
+
+
 #: A key with 1 / HEAVY of all rows or more is heavy, so at most HEAVY keys are.
 HEAVY = 1000
 
@@ -222,8 +232,10 @@ def among(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
 FEW = 20_000
 
 
-def join_sized(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """``join_heavy``, but ``right``, a stored table, is broadcast whole if it has FEW rows at most; without ``count``."""
-    if right.count() <= FEW:
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, rows: int | None = None) -> DataFrame:
+    """``join_heavy``, but ``right``, a stored table, is broadcast whole if it has FEW rows at most; without ``count``.
+
+    ``rows`` says how many rows ``right`` has, where that is known."""
+    if (right.count() if rows is None else rows) <= FEW:
         return left.join(F.broadcast(right.drop(count)), keys)
     return join_heavy(left, right, keys, count, total).drop(count)

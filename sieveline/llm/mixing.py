@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_sized, numbered, positions, row_sums, rows_of, text_bytes, texts, tidy
-from .simhash import components
+from .common import cut, join_sized, numbered, packed, positions, row_sums, rows_of, text_bytes, texts, tidy
+from .simhash import components, with_labels
 
 RATIO, WEIGHTS, REPEAT, SEED, FILLS = 1.5, (3, 1, 2), 2, 11, 4
 #: Ranks are hashes of RANK bits, looked at DIGIT bits at a time.
@@ -67,16 +67,16 @@ def targets(own: DataFrame, ratio: float, weights: tuple[int, ...], repeat: int,
     own = cut(own.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))))
     cap, free, left = F.lit(float(repeat)) * F.col("size"), F.lit(True), float(ratio * total)
     share = F.lit(0.0)
-    while True:
-        whole = own.where(free).agg(F.sum("weight").alias("w")).first()["w"]
-        if not whole:
-            break
+    known = own.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    own, whole = packed(own, known["n"]), known["w"]
+    while whole:
         share = F.lit(left) * F.col("weight") / F.lit(float(whole))
-        stop = own.where(free & (share > cap)).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+        stop = own.where(free & (share > cap)).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("weight").alias("w")).first()
         if not stop["n"]:
             break
         free = free & (share <= cap)
         left = max(0.0, left - float(repeat) * stop["size"])
+        whole -= stop["w"]
     return own.withColumn("target", F.when(free, share).otherwise(cap))
 
 
@@ -153,7 +153,7 @@ def _routed(patterns: DataFrame, sources: DataFrame, repeat: int) -> DataFrame:
         return member.select("key", want.alias("flow"))
     member = cut(member)
     groups = components(member.join(overlapping, "key").where("place > b").select(F.col("place").alias("a"), "b"))
-    groups = cut(groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
+    groups = cut(with_labels(groups))
     held = member.join(groups, member["place"] == groups["node"], "left").select("key", "size", "place", want.alias("want"), "label")
 
     def flow(t: pa.Table) -> pa.Table:
@@ -173,14 +173,16 @@ def _routed(patterns: DataFrame, sources: DataFrame, repeat: int) -> DataFrame:
 def _taken(rows: DataFrame, ratio: float, weights: tuple[int, ...], repeat: int, seed: int) -> tuple[DataFrame, DataFrame]:
     rows = cut(sizes(rows, seed))
     patterns = cut(rows.groupBy("key").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
-    whole = patterns.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    whole = patterns.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("patterns")).first()
+    few = whole["patterns"]
+    patterns = packed(patterns, few)
     own = patterns.select("size", "n", F.explode("sources").alias("source")).groupBy("source").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
     sources = cut(targets(own, ratio, weights, repeat, whole["size"]))
     state = patterns.join(_routed(patterns, sources, repeat), "key", "left").withColumn("flow", F.coalesce("flow", F.lit(0)))
     passes = F.when(F.col("size") > 0, F.floor(F.col("flow") / F.col("size"))).otherwise(F.lit(0)).cast("long")
     state = state.withColumn("whole", passes).select("key", "n", "whole", (F.col("flow") - F.col("whole") * F.col("size")).alias("rest"), F.lit(0).cast("long").alias("low"), F.array().cast("array<bigint>").alias("fills"), F.array().cast("array<bigint>").alias("shut"))
-    state = cut(state)
-    known = lambda: join_sized(rows, state, ["key"], "n", whole["n"])
+    state = cut(packed(state, few))
+    known = lambda: join_sized(rows, state, ["key"], "n", whole["n"], few)
     for step in (1, 2, 3):  # ranks below ``low`` are taken; the last step looks at single ranks
         shift, span = RANK - DIGIT * step if step < 3 else 0, RANK - DIGIT * (step - 1)
         near = known().where((F.col("rest") > 0) & (F.col("rank") >= F.col("low")) & (F.shiftright(F.col("rank") - F.col("low"), span) == 0))
@@ -190,17 +192,18 @@ def _taken(rows: DataFrame, ratio: float, weights: tuple[int, ...], repeat: int,
             edge = hist.where(F.col("upto") > F.col("rest")).groupBy("key").agg(F.min(F.struct("digit", (F.col("upto") - F.col("m")).alias("before"))).alias("e")).select("key", "e.digit", "e.before")
         else:
             edge = hist.where(F.col("upto") <= F.col("rest")).groupBy("key").agg((F.max("digit") + 1).alias("digit"), F.max("upto").alias("before"))
-        state = cut(state.join(edge, "key", "left").select("key", "n", "whole", (F.col("rest") - F.coalesce("before", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft("digit", shift), "low").alias("low"), "fills", "shut"))
+        state = state.join(edge, "key", "left").select("key", "n", "whole", (F.col("rest") - F.coalesce("before", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft("digit", shift), "low").alias("low"), "fills", "shut")
+        state = cut(packed(state, few))
     for _ in range(FILLS):
         fit = known().where((F.col("rank") >= F.col("low")) & F.col("size").between(1, F.col("rest")) & ~F.array_contains("fills", F.col("rank")) & ~F.array_contains("shut", F.col("rank")))
-        best = cut(fit.groupBy("key").agg(F.max(F.struct("size", "rank")).alias("b"), F.count(F.lit(1)).alias("n")).select("key", "n", F.col("b.rank").alias("at")))
+        best = cut(packed(fit.groupBy("key").agg(F.max(F.struct("size", "rank")).alias("b"), F.count(F.lit(1)).alias("n")).select("key", "n", F.col("b.rank").alias("at")), few))
         if best.isEmpty():
             break
         alike = join_sized(rows, best, ["key"], "n", whole["n"]).where(F.col("rank") == F.col("at")).groupBy("key", "at").agg(F.sum("size").alias("m"))
         fits = F.coalesce(F.col("m") <= F.col("rest"), F.lit(False))
         added = lambda to, when: F.when(when, F.concat(to, F.array("at"))).otherwise(F.col(to)).alias(to)
         state = state.join(alike, "key", "left").select("key", "n", "whole", (F.col("rest") - F.when(fits, F.col("m")).otherwise(0)).alias("rest"), "low", added("fills", fits), added("shut", ~fits & F.col("at").isNotNull()))
-        state = cut(state)
+        state = cut(packed(state, few))
     copies = F.col("whole") + ((F.col("rank") < F.col("low")) | F.array_contains("fills", F.col("rank"))).cast("long")
     out = known().withColumn("copies", copies).select("number", "doc_id", "sources", "key", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     return out, sources.select("source", F.to_json(F.struct(F.array("source").alias("sources"))).alias("key"), F.col("size").alias("source_size"), "target", "n")

@@ -37,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import U64, among, cut, join_heavy, loads, numbered, parts, release, rows_of, slices, span_hashes, stored, text_bytes, texts, token_runs, tidy
+from .common import U64, among, cut, join_heavy, loads, numbered, packed, parts, release, rows_of, slices, span_hashes, stored, text_bytes, texts, token_runs, tidy
 from .decontam import LOWER
 from .decontam import fold as words_fold
 
@@ -409,30 +410,43 @@ def _alike_links(rows: DataFrame, k: int, radius: int, nodes: DataFrame, total:
     keyed = nodes.select("node", F.posexplode("bands").alias("p", "v")).select(F.xxhash64("p", "v").alias("key"), "node")
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     shards = cut(join_heavy(keyed, crowds, ["key"], "n", total).select("key", "node", F.ceil(F.col("n") / CROWD).cast("long").alias("s")))
-    groups = components(_in_slices(shards, nodes.select("node", "fp", "size", "sketch"), maybe))
-    groups = cut(groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
-    alone = cut(groups.select(F.col("node").alias("number")))
+    groups = cut(with_labels(components(_in_slices(packed(shards, total), nodes.select("node", "fp", "size", "sketch"), maybe))))
+    linked = groups.count()
+    groups = packed(groups, linked)
+    alone = groups.select(F.col("node").alias("number"))
     sets = stored(shingle_sets(among(rows, alone, "left_semi"), k).join(nodes.select("node", "fp"), "node"), held)
     crowds = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
     slices_of = F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("hashes") / ROOM)).cast("long")
-    shards = cut(join_heavy(groups, crowds, ["label"], "n", groups.count()).select(F.col("label").alias("key"), "node", slices_of.alias("s")))
+    shards = cut(packed(join_heavy(groups, crowds, ["label"], "n", linked).select(F.col("label").alias("key"), "node", slices_of.alias("s")), linked))
     return _in_slices(shards, sets, exact)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node that each linked node reaches, by alternating large and small stars."""
-    edges, before = cut(links.distinct()), None
+    """node, label: the smallest node that each linked node reaches, by alternating large and small stars.
+
+    Links lead down (a > b), so the least of a node's neighbours is known from the links that begin at it, and all is done
+    when each node begins one link, to a node that begins none.
+    """
+    edges, total = cut(links.distinct()), None
     while True:
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or state == before:
+        begins, ends = F.struct(F.col("a").alias("node"), F.col("b").alias("m"), F.lit(0).alias("n")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("m"), F.lit(1).alias("n"))
+        nodes = edges.select(F.explode(F.array(begins, ends)).alias("e")).groupBy("e.node").agg(F.min("e.m").alias("m"), F.sum("e.n").alias("n"), F.count("e.m").alias("up"))
+        nodes = cut(nodes if total is None else packed(nodes, total))
+        state = nodes.agg(F.sum("n").alias("n"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("n") > 0)).alias("open")).first()
+        if not state["open"]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        before = state
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = join_heavy(both, low, ["a"], "degree", 2 * state["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
-        edges = cut(small)
+        total = state["n"]
+        low = packed(nodes, total).where("n > 0").select(F.col("node").alias("b"), F.coalesce("m", "node").alias("m"), "n")
+        large = join_heavy(packed(edges, total), low, ["b"], "n", total).select("a", F.col("m").alias("b"))
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
+        edges = cut(packed(small, total))
+
+
+def with_labels(groups: DataFrame) -> DataFrame:
+    """node, label of ``components``, with a row for each label too."""
+    both = F.array(F.struct("node", "label"), F.struct(F.col("label").alias("node"), "label"))
+    return groups.select(F.explode(both).alias("e")).select("e.*").distinct()
 
 
 def _classes(rows: DataFrame, k: int, radius: int, bands: int, held: list[str] | None = None) -> DataFrame:
@@ -450,11 +464,11 @@ def _classes(rows: DataFrame, k: int, radius: int, bands: int, held: list[str] |
     else:
         keys = _block_keys(whole["nodes"], radius)
         links = _links(nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key")), radius, whole["nodes"] * len(keys))
-    groups = components(links)
-    groups = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
-    linked = cut(nodes.select("node", "best").join(groups, "node"))
+    linked = cut(nodes.select("node", "best").join(with_labels(components(links)), "node"))
+    total = linked.count()
+    linked = packed(linked, total)
     tops = linked.groupBy("label").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("m"))
-    tops = join_heavy(linked.select("node", "label"), tops, ["label"], "m", linked.count()).select("node", "top")
+    tops = packed(join_heavy(linked.select("node", "label"), tops, ["label"], "m", total).select("node", "top"), total)
     found = nodes.join(tops, "node", "left").select(by, F.coalesce("top", "best").alias("top"), "n")
     return join_heavy(members.select(*dict.fromkeys(["number", "doc_id", "fp", by])), found, [by], "n", whole["rows"]).select("number", "doc_id", "fp", "top")
 

@@ -468,6 +468,50 @@ def test_links_and_components(spark, monkeypatch, tile):
         assert {i: found.get(i, i) for i in range(len(prints))} == brute_components(dict(enumerate(prints)), 3)
 
 
+def tasks_of(sc, first=0):
+    """The stage of a job that is run now, and the tasks that ran in stages from ``first`` up to it."""
+    sc.setJobGroup(group := f"mark {random.random()}", "")
+    sc.parallelize([1], 1).count()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    last = max(s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds)
+    return last, sum(x.numCompletedTasks for x in map(status.getStageInfo, range(first, last)) if x)
+
+
+@pytest.mark.parametrize("shape", ["hub below", "hub above", "chain", "random", "none"])
+def test_components_of_any_shape_in_few_tasks(spark, shape):
+    """Right groups, and small tables of links are not dealt over as many tasks as a shuffle has partitions again and again."""
+    rng, n, parts = random.Random(7), 400, 64
+    links = {
+        "hub below": [(i, 0) for i in range(1, n)],
+        "hub above": [(n, i) for i in range(0, n, 2)],
+        "chain": [(i + 1, i) for i in range(40)],
+        "random": [(max(p), min(p)) for p in (rng.sample(range(n), 2) for _ in range(n // 2))],
+        "none": [],
+    }[shape]
+    label = list(range(n + 1))
+    for _ in range(n):
+        before = label[:]
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    sc, changed = spark.sparkContext, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    first = tasks_of(sc)[0]
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        found = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(links * 2, "a long, b long")).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == {i: x for i, x in enumerate(label) if i != x}
+    tasks = tasks_of(sc, first)[1]
+    assert tasks <= 16 * parts, tasks
+
+
 def test_bk_tree_finds_all():
     import numpy as np
 
