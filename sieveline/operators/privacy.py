@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kind and rule; the rules hold in the JVM's, Python's and RE2's dialects.
+from ..functions.text import EDGE
+
+#: Kind and rule in RE2's dialect, whose words are ASCII.
 RULES = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "database_url": r"[a-z][a-z0-9+]{2,12}://[^\s:/@]+:[^\s:/@]+@[^\s/:]+(?::[0-9]+)?/[A-Za-z0-9_]+",
@@ -23,14 +25,18 @@ RULES = {
 LABELS = {"aws_access_key": "API_KEY", "api_token": "API_KEY", "bearer_token": "TOKEN", "private_key": "PRIVATE_KEY", "database_url": "DATABASE_URL", "email": "EMAIL", "high_entropy_token": "SECRET"}
 
 
+def jvm(rule: str) -> str:
+    return rule.replace(r"\b", EDGE)
+
+
 def kind_counts(text: Column) -> list[Column]:
-    return [F.size(F.regexp_extract_all(text, F.lit(rule), F.lit(0))).cast("long").alias(kind) for kind, rule in RULES.items()]
+    return [F.size(F.regexp_extract_all(text, F.lit(jvm(rule)), F.lit(0))).cast("long").alias(kind) for kind, rule in RULES.items()]
 
 
 def leaks(text: Column) -> Column:
     out = F.lit(False)
     for rule in RULES.values():
-        out = out | text.rlike(rule)
+        out = out | text.rlike(jvm(rule))
     return out
 
 
@@ -44,7 +50,7 @@ def redact_text(text: str, names: dict[str, str] | None = None, counts: dict[str
 
     ``names`` (of values) and ``counts`` (of labels) carry the numbering on from text to text."""
     names, counts = {} if names is None else names, {} if counts is None else counts
-    found = sorted((m.start(), -m.end(), kind) for kind, rule in RULES.items() for m in re.finditer(rule, text))
+    found = sorted((m.start(), -m.end(), kind) for kind, rule in RULES.items() for m in re.finditer(rule, text, re.ASCII))
     out, last, kinds = [], 0, set()
     for start, end, kind in found:
         if start < last:
