@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,33 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..functions.batches import tidy, trim
 from ..sources.store import cut, shared_folder
 
 U64 = np.uint64
-LIBC = ctypes.CDLL(None)
 #: Odd multipliers of the 64-bit mixers; any odd values with scattered bits serve.
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def trim() -> None:
-    """Gives freed memory back: workers live on after a task, beside those of other stages."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(LIBC, "malloc_trim"):
-        LIBC.malloc_trim(0)
-
-
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, trimmed at its end."""
-
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            trim()
-
-    return tidied
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
