@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,10 +23,16 @@ def label_match(path: Column, start: Column, end: Column, symbol: Column, label:
 def relevance_labels(chunks: DataFrame, labels: DataFrame, request: str) -> DataFrame:
     """request, key, relevant of every chunk that a label meets: an irrelevant label overrides required and helpful ones.
 
+    Chunks of one place and symbol meet the same labels, so each distinct label meets each distinct place once.
     ``chunks`` has key, path, start_line, end_line and symbol; ``labels`` request, kind, path, symbol and lines."""
-    own = labels.select(request, "kind", F.struct("path", "symbol", "lines").alias("label"), F.col("path").alias("_path"))
-    met = chunks.join(own, chunks["path"] == F.col("_path")).where(label_match(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), F.col("label")))
-    return met.groupBy(request, "key").agg(F.min(F.when(F.col("kind") == "irrelevant", 0).otherwise(1)).alias("relevant"))
+    shape = ["path", "start_line", "end_line", "symbol"]
+    shapes = chunks.select(*shape).distinct()
+    own = labels.groupBy(request, F.col("path").alias("_path"), F.col("symbol").alias("_symbol"), "lines").agg(F.min(F.when(F.col("kind") == "irrelevant", 0).otherwise(1)).alias("v"))
+    label = F.struct(F.col("_path").alias("path"), F.col("_symbol").alias("symbol"), "lines")
+    met = shapes.join(own, F.col("path") == F.col("_path")).where(label_match(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), label))
+    met = met.groupBy(request, *[F.col(c).alias(f"_s{c}") for c in shape]).agg(F.min("v").alias("relevant"))
+    both = chunks.join(met, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in shape]))
+    return both.groupBy(request, "key").agg(F.min("relevant").alias("relevant"))
 
 
 def ranking(ranked: DataFrame, relevant: DataFrame, request: str, key: str, k: int = 10) -> DataFrame:
