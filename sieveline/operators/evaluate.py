@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import pieces, tidy
 from .report import at_rank, upper_median_rank
 
 
@@ -20,6 +23,26 @@ def label_match(path: Column, start: Column, end: Column, symbol: Column, label:
     return F.coalesce(path == label["path"], F.lit(False)) & inside & (none(label["symbol"]) | none(symbol) | (symbol == label["symbol"]))
 
 
+def spans(docs: DataFrame, key: str, text: str, wanted: list[str]) -> DataFrame:
+    """key, g of every document that holds one of the ``wanted`` spans (words joined by a space, equally many each)."""
+    n = len(wanted[0].split(" ")) if wanted else 1
+    shared = docs.sparkSession.sparkContext.broadcast((frozenset(g.split(" ", 1)[0] for g in wanted), frozenset(wanted)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, whole = shared.value
+        for part in pieces(batches):
+            rows, found = [], []
+            for i, x in enumerate(part.column(1).to_pylist()):
+                words = [w for w in (x or "").replace("\n", " ").split(" ") if w]
+                own = {g for j, w in enumerate(words) if w in first and (g := " ".join(words[j : j + n])) in whole}
+                rows += [i] * len(own)
+                found += own
+            yield pa.record_batch([part.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=[key, "g"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(tidy(run), f"`{key}` {kind}, g string")
+
+
 def relevance_labels(chunks: DataFrame, labels: DataFrame, request: str) -> DataFrame:
     """request, key, relevant of every chunk that a label meets: an irrelevant label overrides required and helpful ones.
 
