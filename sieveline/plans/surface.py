@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import oracle as o
 from ..functions import text as t
-from ..operators import claims, evaluate, index, packing, post, report
+from ..operators import claims, evaluate, index, lexical, packing, post, report
 from ..sources import corpus
+from ..sources.store import cut
 from .catalogue import QUERIES, query, table
-from .evidence import BUDGET, CAND, PATH, REL, admitted, candidates, folded, paths, relevant
+from .evidence import BUDGET, CAND, PATH, REL, folded, packed, paths, relevant, scored
 from .ranking import ASKED, CHUNKS, STATED, SYMBOL_SCORES, SYMBOLS, SYMS, asked_terms, chunk_rows, forms, own_terms, stated, stated_origins, symbol_scores, usable
 
 PATH_CLAIMS = f"""{o.bag('pb', 'c', 'path', o.BASENAME.format('path'))}, pt AS (SELECT DISTINCT path, term FROM pb), pf AS (SELECT term, count(*) AS n_files FROM pt GROUP BY term), pn AS (SELECT count(DISTINCT path) AS n FROM pt),
@@ -75,10 +76,11 @@ ADM = f"adm AS (SELECT item_id, doc_id FROM ({folded('0 AS n', f'r.used + c.toke
 def required_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Every document that holds an item's first words is required, and one path that no index has."""
     own = paths(spark, d).select("doc_id", "path")
-    rows = candidates(spark, d).select("item_id", F.col("key").alias("doc_id"), "tokens")
-    packed = admitted(spark, d, lambda x: packing.greedy(x, BUDGET)).select("item_id", "doc_id").join(rows, ["item_id", "doc_id"]).join(own, "doc_id")
-    required = relevant(spark, d).join(own, "doc_id").select("item_id", "path").unionByName(table(spark, d, "benchmark").select("item_id", F.lit("gone.txt").alias("path")))
-    return packing.coverage(required, own, packed, "item_id", BUDGET)
+    got = packed(scored(spark, d)).select("item_id", "doc_id", "tokens")
+    got = got.join(lexical.chosen(own, "doc_id", got), "doc_id")
+    met = cut(relevant(spark, d))
+    required = met.join(lexical.chosen(own, "doc_id", met), "doc_id").select("item_id", "path").unionByName(table(spark, d, "benchmark").select("item_id", F.lit("gone.txt").alias("path")))
+    return packing.coverage(required, own, got, "item_id", BUDGET)
 
 
 @query(f"SELECT path, tokens, row_number() OVER (ORDER BY path) AS position, CAST(sum(tokens) OVER (ORDER BY path) AS BIGINT) AS upto FROM (SELECT {PATH} AS path, CAST({o.tokens('text')} AS BIGINT) AS tokens FROM documents)")
